@@ -114,7 +114,7 @@ def in_filter(packed: np.ndarray, slots: pa.Array) -> np.ndarray:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the scan below ``df``: known on the driver without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
