@@ -19,14 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sketch
 from . import textkit as tk
 from .store import Workspace, durable, map_arrow, plan_bytes
 
-#: Counters of a sketch row: at least and at most (a bitmap of 2**27 bits has 16 MB), and counters for each byte of input.
-SKETCH_LEAST, SKETCH_MOST, SKETCH_PER_BYTE = 1 << 18, 1 << 27, 0.5
-SKETCH_ROWS = 2
-#: Counters of a block: a task sends two lists of 16-bit places for each block that it touched.
-BLOCK = 1 << 16
+#: Sketch keys expected for each byte of input: a key in 13 words, a word in 4 bytes of compressed text.
+KEYS_PER_BYTE = 0.02
 #: Most candidate windows in one row between the passes.
 ROW_WINDOWS = 1 << 15
 #: Most classes of exact copies that the second scan is told of; further ones take the way of windows.
@@ -59,11 +57,6 @@ class _Windows:
             self.key = np.zeros(0, np.uint64)
 
 
-def counters(keys: np.ndarray, width: int) -> np.ndarray:
-    """The counter of each key in each sketch row, rows end to end: (SKETCH_ROWS, keys)."""
-    return np.stack([(tk.salted(keys, 11 + r) & np.uint64(width - 1)).astype(np.int64) + r * width for r in range(SKETCH_ROWS)])
-
-
 def _fingerprints(words: tk.Words, rows: int) -> np.ndarray:
     """Two 64-bit fingerprints of each text's word sequence; 0 without words."""
     f = np.zeros((2, rows), dtype=np.uint64)
@@ -75,87 +68,50 @@ def _fingerprints(words: tk.Words, rows: int) -> np.ndarray:
     return f.view(np.int64)
 
 
-_FIRST = "doc_id long, f1 long, f2 long, n_words long, block int, ones binary, twos binary"
+_FIRST = f"doc_id long, f1 long, f2 long, n_words long, {sketch.COLUMNS}"
 
 
 def _first_scan(size: int, width: int):
-    """Fingerprints of all texts, and the task's sketch: for each block the counters met once and those met twice or more.
-    A text counts a key once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n_words", pa.int64()), ("block", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())])
+    """Fingerprints of all texts, and the task's sketch, in which a text counts a key once."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "f1", "f2", "n_words")] + sketch.FIELDS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, held = [], 0
-
-        def sketch() -> pa.RecordBatch:
-            at = np.sort(np.concatenate(met))
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            often = np.diff(np.append(first, len(at))) > 1
-            at = at[first]
-            blocks = at // BLOCK
-            edge = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
-            low = (at % BLOCK).astype(np.uint16)
-            ones, twos = [], []
-            for a, b in zip(edge, [*edge[1:], len(at)], strict=True):
-                ones.append(low[a:b][~often[a:b]].tobytes())
-                twos.append(low[a:b][often[a:b]].tobytes())
-            none = pa.nulls(len(edge), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(blocks[edge].astype(np.int32)), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], schema=schema)
+        met = sketch.Gathered(width)
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            if out := met.blocks():
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(out[0]), pa.int64())] * 4 + out, schema=schema)
 
         for batch in batches:
             for a, b, words in tk.each_words(batch.column(1), "space", False):
                 f = _fingerprints(words, b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(f[0]), pa.array(f[1]), pa.array(np.diff(words.first)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(f[0]), pa.array(f[1]), pa.array(np.diff(words.first)), *(pa.nulls(b - a, t) for _, t in sketch.FIELDS)], schema=schema)
                 w = _Windows(words, b - a, size)
-                if len(w.key):
-                    new = np.concatenate(([True], (w.key[1:] != w.key[:-1]) | (w.text[1:] != w.text[:-1])))
-                    key, text = w.key[new], w.text[new]
-                    order = np.lexsort((key, text))
-                    key, text = key[order], text[order]
-                    new = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
-                    met.append(counters(key[new], width).ravel())
-                    held += len(met[-1])
-                    if held >= 1 << 22:  # a bounded sketch in the worker; the blocks are summed later anyway
-                        yield sketch()
-                        met, held = [], 0
-        if held:
-            yield sketch()
+                if not len(w.key):
+                    continue
+                new = np.concatenate(([True], (w.key[1:] != w.key[:-1]) | (w.text[1:] != w.text[:-1])))
+                key, text = w.key[new], w.text[new]
+                order = np.lexsort((key, text))
+                key, text = key[order], text[order]
+                if met.add(key[np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))]):
+                    yield from blocks()
+        yield from blocks()
 
     return scan
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, ones, twos) sorted by block -> (block, bitmap of the counters that reached two)."""
-    schema = pa.schema([("block", pa.int32()), ("bitmap", pa.binary())])
-    block, count = None, None
-
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], schema=schema)
-
-    for batch in batches:
-        for b, ones, twos in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            if b != block:
-                if block is not None:
-                    yield done()
-                block, count = b, np.zeros(BLOCK, dtype=np.uint8)
-            one, two = np.frombuffer(ones.as_buffer(), np.uint16), np.frombuffer(twos.as_buffer(), np.uint16)
-            count[one] = np.minimum(count[one] + 1, 2)
-            count[two] = 2
-    if block is not None:
-        yield done()
-
-
 _SECOND = "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, windows array<struct<h1:long,h2:long,at:int>>"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _second_scan(size: int, width: int, repeated, copies):
+def _second_scan(size: int, sketched, copies):
     """A text none of whose windows may repeat, or that is a whole copy of an earlier one, is final. Any other goes on with its
     candidate windows."""
     pair = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32())])
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("windows", pa.list_(pair))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, known = np.frombuffer(repeated.value, np.uint8), np.frombuffer(copies.value, np.int64).reshape(-1, 3)
+        bitmap, known = np.frombuffer(sketched.value, np.uint8), np.frombuffer(copies.value, np.int64).reshape(-1, 3)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1)
@@ -173,9 +129,7 @@ def _second_scan(size: int, width: int, repeated, copies):
                 keep = np.zeros(len(w.key), dtype=bool)
                 if len(w.key):
                     new = np.concatenate(([True], w.key[1:] != w.key[:-1]))
-                    c = counters(w.key[new], width)
-                    hit = ((bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(axis=0)
-                    keep = hit[np.cumsum(new) - 1] & ~whole[w.text]
+                    keep = sketch.repeated(bitmap, w.key[new])[np.cumsum(new) - 1] & ~whole[w.text]
                 start, text = w.start[keep], w.text[keep]
                 h = [tk.windows(words.hash, size, salt)[start] for salt in (0, 5)] if len(start) else [np.zeros(0, np.uint64)] * 2
                 border = np.searchsorted(text, np.arange(rows + 1))
@@ -241,22 +195,17 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "substrings")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    width = 1 << int(np.ceil(np.log2(np.clip(plan_bytes(docs) * SKETCH_PER_BYTE, SKETCH_LEAST, SKETCH_MOST))))
+    width = sketch.width_for(plan_bytes(docs) * KEYS_PER_BYTE)
     first = ws.table(map_arrow(source, _first_scan(size, width), _FIRST))
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = first.where("block IS NOT NULL").select("block", "ones", "twos").repartition(n, "block").sortWithinPartitions("block")
-    bitmap = np.zeros(SKETCH_ROWS * width // 8, dtype=np.uint8)
-    for block, part in map_arrow(blocks, _sum_blocks, "block int, bitmap binary").collect():
-        bitmap[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(part, np.uint8)
+    bitmap = sketch.repeated_bitmap(first.where("block IS NOT NULL"), width)
     texts = first.where(f"block IS NULL AND n_words >= {size} AND doc_id IS NOT NULL")
     classes = texts.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("m"))
     copies = classes.where("least < last").orderBy(F.desc("m"), "least").limit(KNOWN_COPIES).select("f1", "f2", "least").toPandas().to_numpy(dtype=np.int64).reshape(-1, 3)
     copies = copies[np.argsort(copies[:, 0], kind="stable")]
-    repeated, known = spark.sparkContext.broadcast(bitmap.tobytes()), spark.sparkContext.broadcast(copies.tobytes())
+    sketched, known = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(copies.tobytes())
     ws.drop(first)
 
-    second = ws.table(map_arrow(source, _second_scan(size, width, repeated, known), _SECOND))
+    second = ws.table(map_arrow(source, _second_scan(size, sketched, known), _SECOND))
     found = second.where("n_removed IS NULL AND doc_id IS NOT NULL").select("uid", "doc_id", F.explode("windows").alias("w")).select("uid", "doc_id", "w.h1", "w.h2", "w.at")
     exact = ws.table(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("h1", "h2", "least"))
     gone = ws.table(found.join(exact, ["h1", "h2"]).where("doc_id > least").select("uid", "at"))
@@ -265,6 +214,6 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     done = second.where("n_removed IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256")
     out = durable(spark, done.union(map_arrow(left, _remove(size), "doc_id long, n_words long, n_removed long, kept_sha256 string")))
     ws.close()
-    repeated.destroy()
+    sketched.destroy()
     known.destroy()
     return out
