@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import contamination
 from .neardup import near_duplicates
+from .packing import pack
 from .substrings import remove_repeats
 
 #: Parameters of the contract queries.
 NEAR_WORDS, NEAR_PERCENT = 3, 85
+SEQUENCE_TOKENS = 2048
 WINDOW_WORDS = 50
 PHRASE_WORDS, HIT_SHARE = 13, 20
 
@@ -32,8 +34,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), PHRASE_WORDS, HIT_SHARE)
 
 
+def tokenizer_path() -> str:
+    """The word-end vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_mixture_packing": op5_mixture_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
