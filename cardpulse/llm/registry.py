@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .contamination import contamination
 from .neardup import near_duplicates
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
 
 #: Parameters of the contract queries.
 NEAR_WORDS, NEAR_PERCENT = 3, 85
@@ -22,6 +25,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(folds: int) -> Column:
+    """The fold of a row: crc32 of its doc_id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def _verdicts(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return _verdicts(score_toxicity(docs, model), fold(5) == 0)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").where(fold(3) != 1))
+    return _verdicts(score_quality(docs, model), fold(3) == 1)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NEAR_WORDS, NEAR_PERCENT)
 
@@ -47,7 +71,9 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_mixture_packing": op5_mixture_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
