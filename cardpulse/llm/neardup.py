@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sketch
 from . import textkit as tk
-from .store import Workspace, components, durable, filter_slots, id_filter, in_filter, map_arrow
+from .store import Workspace, components, durable, filter_slots, id_filter, in_filter, map_arrow, plan_bytes
 
 #: Permutations (two values each) and bands of four values. At similarity 0.85 a pair shares no band with
 #: probability 6e-11, at 0.8 5e-8.
@@ -32,6 +33,10 @@ BLOCK = 128
 SLACK = 6.0
 #: Bits of the filter of candidate ids that a scan is given; fuller only means that more rows reach the exact join.
 FILTER_BITS = 1 << 23
+#: Candidate documents whose places (32 bytes each) are still broadcast to their sets; more are joined by shuffle.
+SENT_PLACES = 1 << 19
+#: Band keys expected for each byte of input.
+KEYS_PER_BYTE = 0.02
 
 _rng = np.random.default_rng(20240611)
 _FACTOR = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -75,10 +80,20 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return tk.mix(tk.mix(tk.mix(high) + low) + np.arange(BANDS, dtype=np.uint64))
 
 
-def _first_scan(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_FIRST = f"doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, {sketch.COLUMNS}"
+
+
+def _first_scan(size: int, width: int):
+    """Set sizes, set fingerprints and band keys of all texts, and a sketch of the band keys."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "f1", "f2")] + [("bands", pa.list_(pa.int64())), *sketch.FIELDS])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = sketch.Gathered(width)
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            if out := met.blocks():
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(out[0]), pa.int64())] * 4 + [pa.nulls(len(out[0]), pa.list_(pa.int64())), *out], schema=schema)
+
         for batch in batches:
             ids = batch.column(0)
             for a, b, words in tk.each_words(batch.column(1), "space", True):
@@ -92,13 +107,31 @@ def _first_scan(size: int):
                     keys = band_keys(signatures(sets, border[full])).view(np.int64).ravel()
                     ends[1:] = np.cumsum(np.where(count > 0, BANDS, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(count), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))],
+                    [ids.slice(a, b - a), pa.array(count), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys)), *(pa.nulls(b - a, t) for _, t in sketch.FIELDS)],
                     schema=schema,
                 )
+                if met.add(keys.view(np.uint64)):
+                    yield from blocks()
+        yield from blocks()
 
     return scan
 
 
+def _met_bands(sketched):
+    """(doc_id, f1, f2, n_shingles, bands) -> a row for each band key that another document may have, too."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "f1", "f2", "n_shingles", "band")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sketched.value, np.uint8)
+        for batch in batches:
+            keys = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(sketch.repeated(bitmap, keys.view(np.uint64)))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy(zero_copy_only=False))[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(4)), pa.array(keys[at])], schema=schema)
+
+    return run
+
+
 def _second_scan(size: int, wanted):
     schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("signature", pa.binary())])
 
@@ -233,20 +266,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "neardup")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = ws.table(map_arrow(source, _first_scan(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    width = sketch.width_for(plan_bytes(docs) * KEYS_PER_BYTE)
+    first = ws.table(map_arrow(source, _first_scan(words, width), _FIRST))
+    sketched = spark.sparkContext.broadcast(sketch.repeated_bitmap(first.where("block IS NOT NULL"), width))
+    scanned = first.where("block IS NULL")
     some = scanned.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # exact copies: one representative for each distinct set
     copies = ws.table(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last"))
     one = ["f1", "f2", "n_shingles"]
-    reps = some.join(copies.select(*one, "rep"), one, "left").where("rep IS NULL OR rep = doc_id")
 
     # bands that two representatives share, each with its smallest document as a star's centre
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    bands = map_arrow(some.select("doc_id", *one, "bands"), _met_bands(sketched), "doc_id long, f1 long, f2 long, n_shingles long, band long")
+    banded = ws.table(bands.join(copies.select(*one, "rep"), one, "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "band"))
     centre = ws.table(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("centre < last").drop("last"))
     met = ws.table(banded.join(centre, "band").groupBy("centre", "doc_id").agg(F.sum("m").alias("m")))
     groups = ws.table(components(ws, met.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))))
-    ws.drop(centre)
+    ws.drop(centre, banded)
     degree = met.groupBy("doc_id").agg(F.sum("m").alias("m"))
     ranked = groups.join(degree, F.col("node") == F.col("doc_id"), "left")
     pivots = ws.table(ranked.groupBy(F.col("component").alias("gid")).agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), (-F.col("node")).alias("x"))).alias("top")).select("gid", "size", (-F.col("top.x")).alias("pivot")))
@@ -257,7 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     wanted = spark.sparkContext.broadcast(id_filter(place.select(F.col("doc_id").alias("id")), FILTER_BITS))
     asked = source.where("doc_id IS NOT NULL").withColumn("slots", filter_slots(F.col("doc_id"), FILTER_BITS))
     sets = map_arrow(asked, _second_scan(words, wanted), "doc_id long, f1 long, f2 long, n long, members binary, signature binary")
-    keyed = ws.table(sets.join(place, "doc_id").select("doc_id", "gid", "size", "pivot", "members", "signature"))
+    small = place.count() <= SENT_PLACES
+    keyed = ws.table(sets.join(F.broadcast(place) if small else place, "doc_id").select("doc_id", "gid", "size", "pivot", "members", "signature"))
 
     # large groups: exact similarity to the pivot places a document in a bin
     big = keyed.where(F.col("size") > BLOCK)
@@ -294,5 +331,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = durable(spark, out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     ws.close()
     wanted.destroy()
+    sketched.destroy()
     return out
 
