@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import contamination
+from .extraction import extract
+from .linkgraph import Rule, judge
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -17,6 +19,7 @@ from .toxicity import fit_toxicity, score_toxicity
 #: Parameters of the contract queries.
 NEAR_WORDS, NEAR_PERCENT = 3, 85
 SEQUENCE_TOKENS = 2048
+URL_RULES: list[Rule] = [("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False)]
 WINDOW_WORDS = 50
 PHRASE_WORDS, HIT_SHARE = 13, 20
 
@@ -25,6 +28,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def fold(folds: int) -> Column:
     """The fold of a row: crc32 of its doc_id as text, modulo ``folds``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -70,11 +81,13 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_url_filters": op8_url_filters,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
