@@ -13,6 +13,7 @@ from .innerproduct import top_products
 from .linkgraph import Rule, judge
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import digest, find_pii
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -83,6 +84,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
