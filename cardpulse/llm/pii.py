@@ -265,14 +265,14 @@ def fit_candidates(spark: SparkSession, rows: list[tuple[int, str, str, str, int
     return trees, thresholds
 
 
-def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Personal data of each text: ``doc_id``, ``text`` (null: empty) and ``found``, spans (kind, start, end) in code points: base kinds first as listed in
+def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Personal data of each text: ``doc_id``, ``text`` (null: empty), the columns ``keep`` and ``found``, spans (kind, start, end) in code points: base kinds first as listed in
     BASE, then the generators' kinds, each by start; ``n_base`` of them are base spans. A base span always stays; a generated
     one counts if its score reaches its threshold and it overlaps no base span and no better generated one.
     One row for each row of ``docs``; ids may be null or repeat; other columns are ignored.
     """
     trees, thresholds = model or fit_candidates(docs.sparkSession)
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     df = _find(df, BASE | GENERATORS)
     span = "array<struct<kind:string,start:int,end:int>>"
 
@@ -304,7 +304,7 @@ def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
         return F.exists("scored", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["score"] > c["score"]) | ((o["score"] == c["score"]) & (F.struct(o["start"], o["kind"]) < F.struct(c["start"], c["kind"])))))
 
     more = F.transform(F.filter("scored", lambda c: ~beaten(c)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(span)
-    return df.select("doc_id", "text", F.concat("base", more).alias("found"), F.size("base").alias("n_base"))
+    return df.select("doc_id", "text", *(F.col(f"kept_{c}").alias(c) for c in keep), F.concat("base", more).alias("found"), F.size("base").alias("n_base"))
 
 
 def spans_text(spans: Column) -> Column:

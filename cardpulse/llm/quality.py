@@ -154,3 +154,16 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(logits(batch.column(1), number, constant)))], names=["doc_id", "score"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, score double")
+
+
+def quality_filter(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text scores at least ``least``. No join: rows are judged where they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, constant = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array(sigmoid(logits(batch.column(place), number, constant)) >= least))
+
+    return map_arrow(docs, run, docs.schema)

@@ -20,6 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch: what a Python worker and the JVM beside it hold of a partition at once.
+BATCH_BYTES = 8 << 20
+
+#: Ids (of 8 bytes) that are still broadcast.
+SENT_IDS = 1 << 20
 
 _own: list[str] = []
 
@@ -35,10 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` whose workers can import this package wherever they run: its source goes along once per
     application, as ``--py-files`` would send it."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    if int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    context = spark.sparkContext
     if getattr(context, "_cardpulse_sent", None) is None:
         package = Path(__file__).resolve().parents[1]
         held = io.BytesIO()
@@ -83,6 +93,13 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids``; null ids stay. Up to SENT_IDS distinct ids are sent to the rows, more are joined by shuffle."""
+    gone = durable(docs.sparkSession, ids.select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct())
+    gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def durable(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a result that callers read lazily; Spark's cleaner removes its files."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
