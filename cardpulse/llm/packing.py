@@ -10,6 +10,7 @@ lengths are powers of two: there is no padding at all.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,9 @@ from .store import Workspace, durable, map_arrow
 SHARD_TOKENS, MOST_SHARDS = 1 << 19, 1 << 20
 #: Tokens that a source may be owed before it must be served within a window with room; the longest turn.
 LEAST_TURN, LONGEST_TURN = 256, 512
-#: Distinct words that a worker remembers the ids of.
-REMEMBERED = 1_000_000
+#: Distinct words that a worker remembers the ids of (then it starts anew), and words that are tokenised as one text.
+REMEMBERED, TOGETHER = 1 << 20, 256
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -35,45 +37,124 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of a text as the tokenizer gives them, with a memory of words.
 
-    Only for tokenizers whose pre-tokenizer never joins what ASCII white space parts, drops the white space and lower-cases,
-    as the word-end vocabulary does: a text's ids are then its words' ids end to end.
+    Only for tokenizers whose pre-tokenizer never joins what ASCII white space parts, drops the white space, parts letters from
+    marks and lower-cases, and whose last token of a word is marked as such, as in the word-end vocabulary: a text's ids
+    are then its words' ids end to end, and a word's are those of its letters and of the marks after them. Words are
+    remembered by 64-bit hash and length in an open-addressed table, so that a step of texts is looked up and put together in a few vector
+    operations and only new words reach the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.end, self.known = np.array([end_id], self.kind).tobytes(), {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text and the end id."""
-        split = [t.lower().split() for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            words = list(new)
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            kind = self.kind
-            fresh = {w: np.array(e.ids, kind).tobytes() for w, e in zip(words, ids, strict=True)}
-            if len(known) + len(fresh) <= REMEMBERED:
-                known.update(fresh)
-            else:
-                known = _Both(fresh, known)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
-
-
-class _Both(dict):
-    """A dict that looks further in another one."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
+        self.end_id = end_id
+        self._forget()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word by itself; letters only are tokenised many at a time and parted after each last token."""
+        found: dict[bytes, bytes] = {}
+        plain = [w for w in words if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        size = self.kind.itemsize
+        for a in range(0, len(plain), TOGETHER):
+            own = plain[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(own).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.kind)
+            cut = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()
+            if len(cut) == len(own):
+                raw = ids.tobytes()
+                found.update(zip(own, (raw[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
+        rest = [w for w in words if w not in found]
+        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        found.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(rest, ids, strict=True))
+        return found
+
+    def _forget(self) -> None:
+        """Know nothing but the end id, entry 0."""
+        slots = 2 * REMEMBERED
+        self.key, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.begin, self.count = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int32)
+        self.count[0], self.entries, self.used = 1, 1, 1
+        self.pool = np.zeros(1 << 16, self.kind)
+        self.pool[0] = self.end_id
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key; 0 where it is new."""
+        mask = np.uint64(len(self.key) - 1)
+        out, at = np.zeros(len(keys), np.int32), (keys & mask).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            have = self.key[at]
+            hit = have == keys[todo]
+            out[todo[hit]] = self.entry[at[hit]]
+            on = ~hit & (self.entry[at] != 0)
+            todo, at = todo[on], (at[on] + 1) & int(mask)
+        return out
+
+    def _learn(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Remember new, distinct keys."""
+        counts = np.array([len(i) // self.kind.itemsize for i in ids], dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        entries = np.arange(self.entries, self.entries + len(keys), dtype=np.int32)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.begin[entries], self.count[entries] = self.used + np.cumsum(counts) - counts, counts
+        self.used, self.entries = self.used + len(flat), self.entries + len(keys)
+        mask, at = len(self.key) - 1, (keys & np.uint64(len(self.key) - 1)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.entry[at] == 0
+            _, first = np.unique(at, return_index=True)
+            mine = np.zeros(len(todo), dtype=bool)
+            mine[first] = True
+            mine &= free
+            self.key[at[mine]], self.entry[at[mine]] = keys[todo[mine]], entries[todo[mine]]
+            todo, at = todo[~mine], (at[~mine] + 1) & mask
+
+    def __call__(self, words: tk.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, end to end; their borders) of a step's lower-cased words."""
+        keys = tk.mix(words.hash ^ (words.end - words.start).astype(np.uint64))
+        entry = self._find(keys)
+        new = np.flatnonzero(entry == 0)
+        if len(new):
+            new_keys, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            if self.entries + len(new_keys) > REMEMBERED:
+                self._forget()
+                return self(words, rows) if len(np.unique(keys)) < REMEMBERED - 1 else self._by_halves(words, rows)
+            raw = words.data.tobytes()
+            texts = [raw[a:b] for a, b in zip(words.start[new[first]].tolist(), words.end[new[first]].tolist(), strict=True)]
+            begun = self.entries
+            self._learn(new_keys, self._each(texts))
+            entry[new] = begun + back
+        # an end id after each text's words
+        every = np.zeros(len(entry) + rows, dtype=np.int32)
+        every[np.arange(len(entry)) + np.repeat(np.arange(rows), np.diff(words.first))] = entry
+        count = self.count[every].astype(np.int64)
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(self.begin[every] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
+        ends = words.first[1:] + np.arange(rows)
+        return ids, np.concatenate(([0], total[ends]))
+
+    def _by_halves(self, words: tk.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """A single text with more distinct words than are remembered: tokenised as it is."""
+        out = [np.array([*self.tokenizer.encode_batch_fast([words.data[a:b].tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.end_id], self.kind) for a, b in zip(np.append(words.start, 0)[words.first[:-1]], np.append(words.end, 0)[words.first[1:] - 1], strict=True)]
+        return np.concatenate(out), np.concatenate(([0], np.cumsum([len(o) for o in out])))
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of new words. One that ends in letters and then marks has the letters' ids and the marks'."""
+        parted = {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and len(core) < len(w) and (core[-1:].isalpha() or core[-4:].decode("utf-8", "replace").lower()[-1:].isalpha()):
+                parted[w] = core, w[len(core) :]
+        ids = self._ids(list({w for w in words if w not in parted}.union(*parted.values()))) if parted else self._ids(words)
+        return [ids[parted[w][0]] + ids[parted[w][1]] if w in parted else ids[w] for w in words]
 
 
 _TOKENS = "doc_id long, source string, slot long, n_tokens long, ids binary"
@@ -86,15 +167,14 @@ def _tokenise(path: str, end_id: int):
         encode = _encoders.setdefault(path, WordEncoder(path, end_id))
         seen = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = tk.column_bytes(batch.column(2))
-            for a, b in tk.steps(offsets, 1 << 22):
-                raw = data[offsets[a] : offsets[b]].tobytes()
-                at = offsets[a : b + 1] - offsets[a]
-                ids = encode([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            for a, b, words in tk.each_words(batch.column(2), "space", True):
+                ids, border = encode(words, b - a)
                 # a pseudo-random slot deals neighbours, copies and repeated ids to different shards
                 slot = (tk.mix(np.arange(seen, seen + b - a, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
                 seen += b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(slot), pa.array([len(i) // encode.kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                ends = (border * encode.kind.itemsize).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(slot), pa.array(np.diff(border)), held], schema=schema)
 
     return run
 
