@@ -8,12 +8,15 @@ costs a re-read, never a recomputation of earlier stages.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import io
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -60,7 +63,22 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
         Path(folder, "cardpulse_code.zip").write_bytes(held.getvalue())
         context.addPyFile(f"{folder}/cardpulse_code.zip")
         context._cardpulse_sent = True
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_released(function), schema)
+
+
+def _released(function: Callable) -> Callable:
+    """``function`` over a partition, after which the worker, which waits for further tasks, gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc there is nothing to trim
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 class Workspace:
@@ -86,6 +104,12 @@ class Workspace:
                 jvm = self.spark._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Let Spark's cleaner see which shuffles are done with, so that their files go now and not at some later collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def close(self) -> None:
         """Delete whatever is left."""

@@ -42,7 +42,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = max(n, STEP_BYTES + (1 << 16))
         step = np.full(size, _BASE if which == "up" else _INVERSE, dtype=_U)
         step[0] = 1
         have = _powers[which] = np.cumprod(step)
