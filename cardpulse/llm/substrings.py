@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from . import textkit as tk
-from .store import Workspace, durable, map_arrow, plan_bytes
+from .store import SENT_IDS, Workspace, durable, map_arrow, plan_bytes
 
 #: Sketch keys expected for each byte of input: a key in 13 words, a word in 4 bytes of compressed text.
 KEYS_PER_BYTE = 0.02
@@ -106,7 +106,7 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 def _second_scan(size: int, sketched, copies):
     """A text none of whose windows may repeat, or that is a whole copy of an earlier one, is final. Any other goes on with its
-    candidate windows."""
+    candidate windows; its digest is that of the whole text, which holds unless a window turns out to repeat."""
     pair = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32())])
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("windows", pa.list_(pair))])
 
@@ -149,7 +149,7 @@ def _second_scan(size: int, sketched, copies):
                         out["doc_id"].append(ids[i])
                         out["n_words"].append(int(count[i]) if first else None)
                         out["n_removed"].append((int(count[i]) if whole[i] else 0) if final else None)
-                        out["kept_sha256"].append((_EMPTY if whole[i] else hashlib.sha256(b" ".join(own.split())).hexdigest()) if final else None)
+                        out["kept_sha256"].append((_EMPTY if whole[i] else hashlib.sha256(b" ".join(own.split())).hexdigest()) if first else None)
                         out["text"].append(own.decode("utf-8", "surrogatepass") if first and not final else None)
                         spans.append(span[1] - span[0])
                 fields = pa.StructArray.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array((start - words.first[text]).astype(np.int32))], fields=list(pair))
@@ -208,10 +208,16 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     second = ws.table(map_arrow(source, _second_scan(size, sketched, known), _SECOND))
     found = second.where("n_removed IS NULL AND doc_id IS NOT NULL").select("uid", "doc_id", F.explode("windows").alias("w")).select("uid", "doc_id", "w.h1", "w.h2", "w.at")
     exact = ws.table(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("h1", "h2", "least"))
-    gone = ws.table(found.join(exact, ["h1", "h2"]).where("doc_id > least").select("uid", "at"))
+    gone = found.join(exact, ["h1", "h2"]).where("doc_id > least").select("uid", "at")
     starts = ws.table(gone.groupBy("uid").agg(F.collect_list("at").alias("starts")))
-    left = second.where("text IS NOT NULL").select("uid", "doc_id", "text").join(starts, "uid", "left").select("doc_id", "text", "starts")
-    done = second.where("n_removed IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    ws.drop(exact)
+    # only texts that lose words travel; their ids are sent to the rows up to a bound
+    losing = starts.select("uid")
+    texts = second.where("text IS NOT NULL")
+    some = texts.join(F.broadcast(losing), "uid", "left_semi") if starts.count() <= SENT_IDS else texts
+    left = some.select("uid", "doc_id", "text").join(starts, "uid").select("doc_id", "text", "starts")
+    whole = texts.select("uid", "doc_id", "n_words", "kept_sha256").join(losing, "uid", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    done = second.where("n_removed IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").union(whole)
     out = durable(spark, done.union(map_arrow(left, _remove(size), "doc_id long, n_words long, n_removed long, kept_sha256 string")))
     ws.close()
     sketched.destroy()
