@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = ws.table(found.union(placed.where(link).select("doc_id", "pivot")))
     classes = ws.table(components(ws, links))
 
-    same = ws.table(scanned.select("doc_id", "n_shingles", "f1", "f2").join(copies.select(*one, "rep"), one, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    same = ws.table(scanned.select("doc_id", "n_shingles", "f1", "f2").join(copies.select(*one, "rep"), one, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
     out = same.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = durable(spark, out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     ws.close()
