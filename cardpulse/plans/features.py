@@ -192,11 +192,44 @@ def derived(exact: int | None) -> list[dict[str, Column]]:
     return [first, second, third, fourth]
 
 
-def feature_table(df: DataFrame, exact: int | None = None, references: bool = True) -> DataFrame:
+def sliced_merchant_columns(df: DataFrame) -> DataFrame:
+    """The merchant columns of ``aggregates`` without a partition that holds all of a merchant: for merchants with a large share of all rows.
+
+    Rows meet by merchant and day. A day's prior counts are the running totals of earlier days (one row per merchant and day) plus
+    those within the day; the last 24 hours reach into the day before, whose keys and times come along as ghosts. Pairs of merchant
+    and card meet by the pair. Results equal those of the plain frames.
+    """
+    day = F.floor(F.col("_t") / RANGES["24h"])
+    df = df.withColumn("_day", day)
+    fraud = F.coalesce("is_fraud", F.lit(0))
+    totals = df.groupBy(MERCHANT, "_day").agg(F.count("transaction_id").alias("n"), F.sum(fraud).alias("f"))
+    before = Window.partitionBy(MERCHANT).orderBy(F.asc_nulls_first("_day")).rowsBetween(_BEGIN, -1)
+    zero = F.lit(0)
+    totals = totals.select(F.col(MERCHANT).alias("_m"), F.col("_day").alias("_d"), F.coalesce(F.sum("n").over(before), zero).alias("_before_n"), F.sum("f").over(before).alias("_before_f"))
+    ghosts = df.where("_t IS NOT NULL").select(F.col(MERCHANT), (F.col("_day") + 1).alias("_day"), "_t", F.lit(True).alias("_ghost"))
+    both = df.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
+    own = Window.partitionBy(MERCHANT, "_day")
+    prior = own.orderBy("_ghost", "_t", "transaction_id").rowsBetween(_BEGIN, -1)
+    both = both.select(
+        "*",
+        F.count("*").over(own.orderBy("_t").rangeBetween(-RANGES["24h"], _NOW)).alias("_merchant_24h"),
+        F.count("transaction_id").over(prior).alias("_in_day_n"),
+        F.sum(fraud).over(prior).alias("_in_day_f"),
+    )
+    joined = both.where("NOT _ghost").join(totals, F.col(MERCHANT).eqNullSafe(F.col("_m")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
+    f = F.when(F.col("_before_f").isNotNull() | F.col("_in_day_f").isNotNull(), F.coalesce("_before_f", zero) + F.coalesce("_in_day_f", zero))
+    joined = joined.withColumns({"_merchant_n": F.coalesce("_before_n", zero) + F.col("_in_day_n"), "_merchant_f": f})
+    joined = joined.drop("_m", "_d", "_before_n", "_before_f", "_in_day_n", "_in_day_f", "_ghost", "_day")
+    pair = Frame((CARD, MERCHANT), prior=True).spec()
+    return joined.withColumn("_pair_n", F.count("transaction_id").over(pair))
+
+
+def feature_table(df: DataFrame, exact: int | None = None, references: bool = True, slice_merchants: bool = False) -> DataFrame:
     """Cleaned transactions -> the 17 carried columns and the 36 features, in the order of GOLD_COLUMNS, one row for each row of ``df``.
 
     ``exact``: amounts have that many decimals, and sums are taken in whole units (independent of the order of addition); None sums doubles.
     ``references``: look up referenced transactions, which then stand in for the previous one in distance, hours and speed.
+    ``slice_merchants``: no partition holds all rows of a merchant (see ``sliced_merchant_columns``).
     """
     df = prepare(df)
     if references:
@@ -204,9 +237,11 @@ def feature_table(df: DataFrame, exact: int | None = None, references: bool = Tr
     else:
         df = df.withColumns({"_ref_id": F.lit(None).cast("string"), "_ref_t": F.lit(None).cast("long"), "_ref_lat": F.lit(None).cast("double"), "_ref_lon": F.lit(None).cast("double")})
     every = aggregates(exact)
-    for key in (CARD, MERCHANT):  # one exchange each: all frames of a key begin with it
+    for key in (CARD,) if slice_merchants else (CARD, MERCHANT):  # one exchange each: all frames of a key begin with it
         own = {name: a.value().over(FRAMES[a.frame].spec()) for name, a in every.items() if FRAMES[a.frame].partition[0] == key}
         df = df.select("*", *[column.alias(name) for name, column in own.items()])
+    if slice_merchants:
+        df = sliced_merchant_columns(df)
     for stage in derived(exact):
         df = df.withColumns(stage)
     return df.withColumn("event_time_unix", F.col("_t")).select(*GOLD_COLUMNS)

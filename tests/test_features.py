@@ -102,6 +102,17 @@ def test_merchant_features_and_missing_merchant(spark):
     assert got["tx_003"]["merchant_tx_count_last_24h"] == 3
 
 
+def test_sliced_merchants_equal_plain_ones(spark, sf):
+    from cardpulse.plans.queries import transactions
+
+    df = transactions(spark, sf)
+    df = df.withColumn("merchant", F.when(F.col("transaction_id") % 3 == 0, F.lit("hot")).otherwise(F.col("merchant")))
+    df = df.withColumns({c: F.when(F.col("transaction_id") % 97 != 0, F.col(c)) for c in ("event_time_unix", "event_time")})
+    columns = ["transaction_id", "merchant_tx_count_last_24h", "merchant_prior_tx_count", "merchant_prior_fraud_rate", "card_merchant_repeat_count_prior"]
+    plain, sliced = (sorted(map(tuple, feature_table(df, slice_merchants=s).select(*columns).collect())) for s in (False, True))
+    assert plain == sliced
+
+
 def test_unreadable_time_keeps_the_row(spark):
     got = rows_of(spark, [tx(1, 0, 1.0, event_time="soon"), tx(2, 10, 1.0)])
     assert got["tx_001"]["event_time_ts"] is None
