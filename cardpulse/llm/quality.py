@@ -21,7 +21,7 @@ from .store import map_arrow
 #: Hash buckets of all kinds of features.
 BUCKETS = 1 << 16
 #: Most labelled rows that training reads (the smallest by a hash of their id), dimensions, passes and step.
-SAMPLE, DIMENSIONS, EPOCHS, RATE = 3000, 8, 12, 4.0
+SAMPLE, DIMENSIONS, EPOCHS, RATE = 2000, 8, 16, 4.0
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +74,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, see
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     output, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    weights = [(c / c.sum()).astype(np.float32) for _, c in examples]
     steps, done = EPOCHS * len(examples), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(examples)):
             rate = RATE * (1 - done / steps)
             done += 1
-            at, w = examples[k][0], weights[k]
+            at, counts = examples[k]
             if not len(at):
                 continue
+            w = (counts / counts.sum()).astype(np.float32)
             own = vectors[at]
             h = w @ own
             z = h @ output + bias
@@ -134,9 +134,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col:
     """The model of ``train`` from at most ``most`` labelled documents (features are hashed where the texts are; only bags of
     at most BUCKETS entries reach the driver). Without labelled rows every text scores one half."""
     sample = map_arrow(labelled_sample(docs, labels, most, id_col, text_col, label_col), _bag_rows, _BAG)
-    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "bucket", "count")).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
-    examples = [(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(c, np.uint32).astype(np.float32)) for i, c in zip(rows["bucket"], rows["count"], strict=True)]
-    return train(examples, rows["label"].to_numpy(dtype=np.int64))
+    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "bucket", "count")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
+    examples = [(np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.uint32)) for i, c in zip(rows["bucket"], rows["count"], strict=True)]
+    return train(examples, rows["label"].to_numpy().astype(np.int64))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

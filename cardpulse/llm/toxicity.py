@@ -119,12 +119,12 @@ def train(examples: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list
     if len(np.unique(labels)) < 2:
         return weight.astype(np.float32), constant
     size = np.array([len(e) for e in examples])
-    at = np.concatenate(examples).astype(np.int64)
+    at = np.concatenate(examples).astype(np.int32)
     # a bucket that one text alone has, or that is no likelier under label 1, would end at zero
-    with_one = np.bincount(at, weights=np.repeat(labels, size), minlength=BUCKETS)
+    with_one = np.bincount(at[np.repeat(labels == 1, size)], minlength=BUCKETS)
     every = np.bincount(at, minlength=BUCKETS)
     keep = ((every > 1) & (with_one * (len(labels) - labels.sum()) > LIFT * (every - with_one) * labels.sum()))[at]
-    row = np.repeat(np.arange(len(examples)), size)[keep]
+    row = np.repeat(np.arange(len(examples), dtype=np.int32), size)[keep]
     at = at[keep]
     used, at = np.unique(at, return_inverse=True)
     place = {int(u): k for k, u in enumerate(used)}
@@ -200,15 +200,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, groups:
     """The model of ``train`` from at most ``most`` labelled documents, hashed where they are. Swaps are those of identity terms in these
     documents and those within each group of the lexicon. Without labelled rows every text scores one half."""
     sample = map_arrow(labelled_sample(docs, labels, most, id_col, text_col, label_col), _bag_rows(groups), _BAG)
-    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "bucket", "swaps")).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
+    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "bucket", "swaps")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     lexicon = Lexicon(groups)
     swaps = [s for k in range(len(lexicon.hash)) for s in lexicon.swaps(k, k)]
     for flat in rows["swaps"]:
-        numbers = np.frombuffer(flat, np.int32)
+        numbers = np.frombuffer(flat.as_buffer(), np.int32)
         for own in np.split(numbers, np.flatnonzero(numbers == -BUCKETS - 1) + 1)[:-1]:
             own = own[:-1]
             swaps.append((own[own >= 0].tolist(), (-1 - own[own < 0]).tolist()))
-    return train([np.frombuffer(b, np.int32) for b in rows["bucket"]], rows["label"].to_numpy(dtype=np.int64), swaps)
+    return train([np.frombuffer(b.as_buffer(), np.int32) for b in rows["bucket"]], rows["label"].to_numpy().astype(np.int64), swaps)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
