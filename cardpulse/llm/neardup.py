@@ -273,19 +273,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     some = scanned.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # exact copies: one representative for each distinct set
-    copies = ws.table(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last"))
+    copies = ws.keep(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last"))
     one = ["f1", "f2", "n_shingles"]
 
     # bands that two representatives share, each with its smallest document as a star's centre
     bands = map_arrow(some.select("doc_id", *one, "bands"), _met_bands(sketched), "doc_id long, f1 long, f2 long, n_shingles long, band long")
     banded = ws.table(bands.join(copies.select(*one, "rep"), one, "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "band"))
-    centre = ws.table(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("centre < last").drop("last"))
+    centre = ws.keep(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("centre < last").drop("last"))
     met = ws.table(banded.join(centre, "band").groupBy("centre", "doc_id").agg(F.sum("m").alias("m")))
     groups = ws.table(components(ws, met.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))))
     ws.drop(centre, banded)
     degree = met.groupBy("doc_id").agg(F.sum("m").alias("m"))
     ranked = groups.join(degree, F.col("node") == F.col("doc_id"), "left")
-    pivots = ws.table(ranked.groupBy(F.col("component").alias("gid")).agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), (-F.col("node")).alias("x"))).alias("top")).select("gid", "size", (-F.col("top.x")).alias("pivot")))
+    pivots = ws.keep(ranked.groupBy(F.col("component").alias("gid")).agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), (-F.col("node")).alias("x"))).alias("top")).select("gid", "size", (-F.col("top.x")).alias("pivot")))
     place = ws.table(groups.join(pivots, F.col("component") == F.col("gid")).select(F.col("node").alias("doc_id"), "gid", "size", "pivot"))
     ws.drop(met)
 
@@ -298,18 +298,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # large groups: exact similarity to the pivot places a document in a bin
     big = keyed.where(F.col("size") > BLOCK)
-    centre_sets = ws.table(big.where("doc_id = pivot").groupBy("gid").agg(F.max("members").alias("pivot_members")))
+    centre_sets = ws.keep(big.where("doc_id = pivot").groupBy("gid").agg(F.max("members").alias("pivot_members")))
     placed = ws.table(map_arrow(big.join(centre_sets, "gid").select("doc_id", "gid", "pivot", "members", "signature", "pivot_members"), _to_pivot, "doc_id long, gid long, pivot long, members binary, signature binary, both long, total long"))
     link = F.col("both") * 100 >= F.col("total") * percent
     far = F.least(F.lit(19), (F.lit(20) * (F.col("total") - F.col("both")) / F.col("total")).cast("int"))
     # documents known to be linked are dealt by distance too, but in blocks of their own
     binned = placed.select("doc_id", "gid", "members", "signature", link.alias("known"), F.when(link, far).otherwise(far + 100).alias("bin"))
-    parts = ws.table(binned.groupBy("gid", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")))
+    parts = ws.keep(binned.groupBy("gid", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")))
     cells = parts.select("gid", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = cells.select("gid", F.col("bin").alias("bin1"), F.col("part").alias("part1"))
     right = cells.select("gid", F.col("bin").alias("bin2"), F.col("part").alias("part2"))
     near = F.abs(F.col("bin1") % 100 - F.col("bin2") % 100) * 5 <= 100 - percent + 5
-    duty = ws.table(
+    duty = ws.keep(
         left.join(right, "gid")
         .where(near & (F.struct("bin1", "part1") <= F.struct("bin2", "part2")) & ~((F.col("bin1") < 100) & (F.col("bin2") < 100)))
         .select("gid", "bin1", "part1", "bin2", "part2", F.concat_ws(":", "gid", "bin1", "part1", "bin2", "part2").alias("key"))
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = ws.table(found.union(placed.where(link).select("doc_id", "pivot")))
     classes = ws.table(components(ws, links))
 
-    same = ws.table(scanned.select("doc_id", "n_shingles", "f1", "f2").join(copies.select(*one, "rep"), one, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+    same = scanned.select("doc_id", "n_shingles", "f1", "f2").join(copies.select(*one, "rep"), one, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     out = same.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = durable(spark, out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     ws.close()

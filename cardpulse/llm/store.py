@@ -21,16 +21,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch: what a Python worker and the JVM beside it hold of a partition at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: Ids (of 8 bytes) that are still broadcast.
 SENT_IDS = 1 << 20
 
+#: Bits of a block of the id filter.
+FILTER_BLOCK = 1 << 15
+
 _own: list[str] = []
 
 
@@ -58,10 +62,11 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
         with zipfile.ZipFile(held, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.writestr(zipfile.ZipInfo(str(f.relative_to(package.parent))), f.read_bytes())
-        folder = tempfile.mkdtemp(prefix="cardpulse-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        Path(folder, "cardpulse_code.zip").write_bytes(held.getvalue())
-        context.addPyFile(f"{folder}/cardpulse_code.zip")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/code-{uuid.uuid4().hex}/cardpulse_code.zip")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(held.getvalue())
+        out.close()
+        context.addPyFile(path.toString())
         context._cardpulse_sent = True
     return df.mapInArrow(_released(function), schema)
 
@@ -86,6 +91,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: the plan above starts at files that outlive any executor."""
@@ -96,13 +102,21 @@ class Workspace:
         out._cardpulse_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A small intermediate result that several steps read, or that stands beside a join: cached, not written. A lost executor's
+        part is computed again from the written tables below it."""
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
     def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables that nothing will read again."""
+        """Delete written tables and forget kept ones that nothing will read again."""
         for t in tables:
             path = getattr(t, "_cardpulse_path", None)
-            if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            if any(t is k for k in self.kept):
+                self.kept = [k for k in self.kept if k is not t]
+                t.unpersist()
+            elif path:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         self.tidy()
 
@@ -112,7 +126,8 @@ class Workspace:
         self.spark._jvm.System.gc()
 
     def close(self) -> None:
-        """Delete whatever is left."""
+        """Delete and forget whatever is left."""
+        self.drop(*self.kept)
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -134,12 +149,35 @@ def durable(spark: SparkSession, df: DataFrame) -> DataFrame:
 def id_filter(ids: DataFrame, bits: int) -> bytes:
     """A filter over the ``id`` column of ``ids`` with two slots each (see ``filter_slots``), built in Spark and at most ``bits``
     bits on the driver whatever the number of ids: a fuller filter only lets more rows through."""
-    slot = F.explode(filter_slots(F.col("id"), bits)).alias("s")
-    parts = ids.select(slot).groupBy((F.col("s") / 4096).cast("int").alias("part")).agg(F.collect_set((F.col("s") % 4096).cast("int")).alias("s"))
-    held = np.zeros(bits, dtype=bool)
-    for part, s in parts.collect():
-        held[part * 4096 + np.array(s, dtype=np.int64)] = True
-    return np.packbits(held, bitorder="little").tobytes()
+    slots = ids.select(F.explode(filter_slots(F.col("id"), bits)).alias("s")).select((F.col("s") / FILTER_BLOCK).cast("int").alias("block"), (F.col("s") % FILTER_BLOCK).cast("int").alias("place"))
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = map_arrow(slots.repartition(n, "block").sortWithinPartitions("block"), _mark_blocks, "block int, bitmap binary")
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for block, bitmap in parts.collect():
+        held[block * FILTER_BLOCK // 8 : (block + 1) * FILTER_BLOCK // 8] = np.frombuffer(bitmap, np.uint8)
+    return held.tobytes()
+
+
+def _mark_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, place) sorted by block -> (block, bitmap of the places that occur)."""
+    schema = pa.schema([("block", pa.int32()), ("bitmap", pa.binary())])
+    block, marks = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], schema=schema)
+
+    for batch in batches:
+        blocks, places = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for part in np.split(np.arange(len(blocks)), np.flatnonzero(blocks[1:] != blocks[:-1]) + 1):
+            if not len(part):
+                continue
+            if blocks[part[0]] != block:
+                if block is not None:
+                    yield done()
+                block, marks = int(blocks[part[0]]), np.zeros(FILTER_BLOCK, dtype=bool)
+            marks[places[part]] = True
+    if block is not None:
+        yield done()
 
 
 def filter_slots(column: Column, bits: int) -> Column:
@@ -172,11 +210,11 @@ def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     for _ in range(rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ws.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
-        large = ws.table(
+        low = ws.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
+        large = ws.keep(
             both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
-        least = ws.table(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")))
+        least = ws.keep(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")))
         parent = F.col("b") == F.col("m")
         now = ws.table(
             large.join(least, F.col("a") == F.col("k"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed in one step; a longer single text is a step of its own.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 
 _U = np.uint64
 #: Odd multiplier of the polynomial and its inverse modulo 2**64.
