@@ -85,10 +85,11 @@ def _index_scan(vocabulary):
     return scan
 
 
-def occurrences(phrases: Phrases, n_words: int, term: np.ndarray, count: np.ndarray, position: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word) of every match of every window in a segment, by intersecting offset-adjusted posting lists from
-    the rarest term on. With ``slop`` a term may stand up to that many words from its place; ``word`` is then where the
-    phrase would begin by its rarest term, and may lie outside the segment by less than a phrase."""
+def occurrences(phrases: Phrases, first: np.ndarray, term: np.ndarray, count: np.ndarray, position: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word) of every match of every window in a segment whose documents begin at the words ``first`` (and its end), by intersecting
+    offset-adjusted posting lists from the rarest term on. A match lies in one document. With ``slop`` the window's first term stands at
+    ``word`` and every other one within that many words of its place: a definition that does not depend on the segment."""
+    n_words = int(first[-1])
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(phrases.terms) or not len(term):
         return none
@@ -115,14 +116,24 @@ def occurrences(phrases: Phrases, n_words: int, term: np.ndarray, count: np.ndar
         which = np.repeat(np.arange(hi - lo), r)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(r) - r, r)
         word = position[begin[phrases.terms[w, k[:, 0]]][which] + inside].astype(np.int64) - k[which, 0]
-        for j in range(1, size):
+        if slop:
+            word, which = (word[:, None] + np.arange(-slop, slop + 1)).ravel(), np.repeat(which, 2 * slop + 1)
+            begins = at_word[np.clip(word + margin, 0, len(at_word) - 1)] == phrases.terms[w[which], 0]
+            pair = np.unique(which[begins] * len(at_word) + word[begins])
+            which, word = pair // len(at_word), pair % len(at_word)
+        else:
+            which, word = which[word >= 0], word[word >= 0]
+        doc = np.searchsorted(first, word, side="right") - 1
+        low, high = first[doc], first[np.minimum(doc + 1, len(first) - 1)]
+        for j in range(size):
             offset = k[which, j]
             wanted = phrases.terms[w[which], offset]
             place = word + offset + margin
             ok = wanted < 0
             for d in range(-slop, slop + 1):
-                ok = ok | (at_word[np.clip(place + d, 0, len(at_word) - 1)] == wanted)
-            which, word = which[ok], word[ok]
+                here = word + offset + d
+                ok = ok | ((at_word[np.clip(place + d, 0, len(at_word) - 1)] == wanted) & (here >= low) & (here < high))
+            which, word, low, high = which[ok], word[ok], low[ok], high[ok]
             if not len(which):
                 break
         out_window.append(w[which])
@@ -158,16 +169,8 @@ def _search(sent, slop: int):
                 rows, n_words = len(first) - 1, int(first[-1]) if len(first) else 0
                 found = {}
                 for s in sorted({0, slop}):
-                    window, word = occurrences(phrases, n_words, term, count, position, s)
-                    length = phrases.length[window]
-                    if s:  # a phrase that begins or ends beyond its document matched by words that may still be inside
-                        word = np.clip(word, 0, max(n_words - 1, 0))
-                        doc = np.searchsorted(first, word, side="right") - 1
-                        ok = np.ones(len(doc), dtype=bool)
-                    else:
-                        doc = np.searchsorted(first, word, side="right") - 1
-                        ok = (word >= 0) & (word + length <= first[np.minimum(doc + 1, rows)])
-                    found[s] = window[ok], word[ok], doc[ok], length[ok]
+                    window, word = occurrences(phrases, first, term, count, position, s) if n_words else (np.zeros(0, np.int64),) * 2
+                    found[s] = window, word, np.searchsorted(first, word, side="right") - 1, phrases.length[window]
                 window, word, doc, length = found[0]
                 step = np.zeros(n_words + 1, dtype=np.int64)
                 np.add.at(step, word, 1)
@@ -199,7 +202,7 @@ def _search(sent, slop: int):
 def matches(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Where windows of ``size`` consecutive words of ``items`` stand in ``docs``: one row for each row of ``docs`` with ``uid``, ``doc_id``,
     ``n_words``, ``hits`` (ranges [a, b) of words in exact matches), ``items`` (ids, as sorted strings, of items with exact matches) and ``near``
-    (further items of which all terms of a window stand within ``slop`` words of their places).
+    (further items with proximity matches: a window's first term, and every other one within ``slop`` words of its place from there).
 
     Words are lower-cased letters, digits and everything beyond ASCII. An item with fewer words, but some, is one
     window. Null texts have no words; items with a null id are passed over; items that share an id are one. Other columns are

@@ -105,7 +105,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+_SPACE_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT row_number() OVER () AS u, doc_id, {_SPACE_WORDS.replace("text", _LOWER)} AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT u, doc_id, CASE WHEN len(ws) < {NEAR_WORDS} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + {NEAR_WORDS - 1}], ' ') END AS k
+            FROM w, unnest(range(1, greatest(len(ws) - {NEAR_WORDS - 1}, 1) + 1)) t(i) WHERE len(ws) > 0
+        ), n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id JOIN n na ON na.u = a.u JOIN n nb ON nb.u = b.u
+            GROUP BY a.u, b.u, a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= {NEAR_PERCENT} * (na.n + nb.n - count(*))
+        ), r AS (
+            SELECT doc_id AS x, doc_id AS c FROM w UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.x
+        ), m AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+        SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, coalesce(doc_id = m.c, true) AS kept
+        FROM w LEFT JOIN n USING (u) LEFT JOIN m ON m.x = doc_id
+    """,
+    "op7_substring_dedup": f"""
+        WITH w AS (SELECT row_number() OVER () AS u, doc_id, {_SPACE_WORDS} AS ws FROM documents),
+        v AS (SELECT u, doc_id, i, array_to_string(ws[i : i + {WINDOW_WORDS - 1}], ' ') AS k FROM w, unnest(range(1, len(ws) - {WINDOW_WORDS - 2})) t(i)),
+        f AS (SELECT k, min(doc_id) AS least FROM v GROUP BY k),
+        g AS (SELECT DISTINCT u, i + o AS i FROM v JOIN f USING (k), range({WINDOW_WORDS}) r(o) WHERE doc_id > least),
+        x AS (SELECT u, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
+        y AS (SELECT x.u, count(g.u) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (g.u IS NULL) AS kept FROM x LEFT JOIN g ON x.u = g.u AND x.i = g.i GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y USING (u)
+    """,
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

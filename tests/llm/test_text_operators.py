@@ -209,6 +209,33 @@ def test_proximity(spark):
     assert got == {1: (["9"], []), 2: ([], ["9"]), 3: ([], []), 4: ([], [])}
 
 
+def test_matches_stay_in_their_document(spark):
+    rows = [(1, "a b c"), (2, "rare a b"), (3, "c rare")]
+    items = spark.createDataFrame([(9, "a b c rare")], "item_id long, text string")
+    assert all(not r["items"] and not r["near"] for r in matches(frame(spark, rows).coalesce(1), items, 4).collect())
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_proximity_against_brute_force(spark, parts):
+    rng, slop, size = random.Random(11), 2, 4
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))) for k in range(40)]
+    items = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))) for k in range(12)]
+    want = {}
+    for i, t in rows:
+        w, exact, near = t.split(), set(), set()
+        for item, text in items:
+            own = text.split()
+            for window in [own[k : k + size] for k in range(max(len(own) - size, 0) + 1)]:
+                for b in range(len(w)):
+                    if w[b : b + len(window)] == window:
+                        exact.add(str(item))
+                    if w[b] == window[0] and all(any(0 <= b + k + d < len(w) and w[b + k + d] == x for d in range(-slop, slop + 1)) for k, x in enumerate(window)):
+                        near.add(str(item))
+        want[i] = (sorted(exact), sorted(near - exact))
+    df = matches(frame(spark, rows).repartition(parts), spark.createDataFrame(items, "item_id long, text string"), size, slop)
+    assert {r["doc_id"]: (r["items"], r["near"]) for r in df.collect()} == want
+
+
 def test_without(spark, monkeypatch):
     from cardpulse.llm import store
 
