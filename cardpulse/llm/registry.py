@@ -108,6 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PHRASE_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+# the terms of a window, each within two words of its place in the same document (list slices end with the document)
+_NEAR_TERMS = " AND ".join(f"(len(t) < {k + 1} OR list_contains(ws[greatest(b + {k} - 2, 1) : b + {k} + 2], t[{k + 1}]))" for k in range(PHRASE_WORDS))
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": f"""
         WITH RECURSIVE w AS (
@@ -125,6 +129,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, coalesce(doc_id = m.c, true) AS kept
         FROM w LEFT JOIN n USING (u) LEFT JOIN m ON m.x = doc_id
     """,
+    "op10_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_PHRASE_WORDS} AS ws FROM documents),
+        q AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PHRASE_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        z AS (SELECT DISTINCT item, CASE WHEN len(ws) < {PHRASE_WORDS} THEN ws ELSE ws[i : i + {PHRASE_WORDS - 1}] END AS t FROM q, unnest(range(1, greatest(len(ws) - {PHRASE_WORDS - 1}, 1) + 1)) g(i) WHERE len(ws) > 0),
+        b AS (SELECT u, ws, b, ws[b] AS w FROM d, unnest(range(1, len(ws) + 1)) g(b)),
+        c AS (SELECT u, item, b, len(t) AS n, ws[b : b + len(t) - 1] = t AS exact FROM b JOIN z ON w = t[1] WHERE {_NEAR_TERMS}),
+        e AS (SELECT DISTINCT u, item FROM c WHERE exact),
+        h AS (SELECT u, count(DISTINCT b + o) AS n_hit FROM c, range({PHRASE_WORDS}) r(o) WHERE exact AND o < n GROUP BY u),
+        i AS (SELECT u, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM e GROUP BY u),
+        k AS (SELECT u, count(DISTINCT item) AS n_near FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = c.u AND e.item = c.item) GROUP BY u)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND {HIT_SHARE} * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN h USING (u) LEFT JOIN i USING (u) LEFT JOIN k USING (u)
+    """,
     "op7_substring_dedup": f"""
         WITH w AS (SELECT row_number() OVER () AS u, doc_id, {_SPACE_WORDS} AS ws FROM documents),
         v AS (SELECT u, doc_id, i, array_to_string(ws[i : i + {WINDOW_WORDS - 1}], ' ') AS k FROM w, unnest(range(1, len(ws) - {WINDOW_WORDS - 2})) t(i)),
