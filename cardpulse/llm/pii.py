@@ -24,9 +24,9 @@ BASE = {
 }
 #: A text without this has no match.
 _NEEDS = {"email": "@", "phone": "+"}
-#: Generators of further candidates.
+#: Generators of further candidates. A number ends with its last whole group: the start of a longer one after it is not taken.
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})++(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z+(])(?<![0-9][.-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}(?![0-9A-Za-z]))++",
     "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
     "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?i:at) ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(] ?(?i:dot) ?[\])]) ?[A-Za-z0-9-]{1,63}+)++",
 }

@@ -114,6 +114,18 @@ def test_generated_spans_and_redaction(spark):
     assert overlap.select(pii_module.redacted(F.col("text"), F.col("s")).alias("t")).first()["t"] == "a<A>f<C>h"
 
 
+def test_numbers_before_other_numbers(spark):
+    texts = ["call 555-123-4567 10001 NY", "call 555-123-4567 12th", "ssn 123-45-6789 1988a", "call 555-123-4567 1988", "tel.555-123-4567 today", "tel: -555-123-4567", "call 555-123-4567 today", "version 1.555.123.4567a", "call 555-123-45678"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii_module._find(df, pii_module.GENERATORS).orderBy("doc_id").collect()
+    got = [[s["txt"] for s in r["number_found"]] for r in found]
+    phone = "555-123-4567"
+    assert got == [[phone], [phone], ["123-45-6789"], [f"{phone} 1988"], [phone], [phone], [phone], [], []]
+    out = [r["t"] for r in pii_module.find_pii(df).orderBy("doc_id").select(pii_module.redacted(F.col("text"), F.col("found")).alias("t")).collect()]
+    assert out[:3] == ["call <NUMBER> 10001 NY", "call <NUMBER> 12th", "ssn <NUMBER> 1988a"]
+    assert out[4] == "tel.<NUMBER> today"
+
+
 def test_boosted_trees_separate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, (400, 3)).astype(float)
