@@ -28,7 +28,7 @@ _NEEDS = {"email": "@", "phone": "+"}
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z+(])(?<![0-9][.-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}(?![0-9A-Za-z]))++",
     "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
-    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?i:at) ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(] ?(?i:dot) ?[\])]) ?[A-Za-z0-9-]{1,63}+)++",
+    "handle": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?i:at) ?[\])] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| \. ?| ?[\[(] ?(?i:dot) ?[\])] ?)[A-Za-z0-9-]{1,63}+)++",
 }
 #: Code points of context on either side of a candidate.
 CONTEXT = 24

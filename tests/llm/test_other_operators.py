@@ -126,6 +126,13 @@ def test_numbers_before_other_numbers(spark):
     assert out[4] == "tel.<NUMBER> today"
 
 
+def test_handles_end_with_the_sentence(spark):
+    texts = {"mail jane [at] foo [dot] com. Thanks for it": "jane [at] foo [dot] com", "jane (at) foo.org. Thanks": "jane (at) foo.org", "jane (at) foo . org please": "jane (at) foo . org", "jane [at] foo(dot)co [dot] uk": "jane [at] foo(dot)co [dot] uk"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii_module._find(df, pii_module.GENERATORS).orderBy("doc_id").collect()
+    assert [[s["txt"] for s in r["handle_found"]] for r in found] == [[h] for h in texts.values()]
+
+
 def test_boosted_trees_separate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, (400, 3)).astype(float)
