@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .store import Workspace, durable
 
-#: Share of a score that is passed on, greatest number of rounds, change at which rounds end, and how far distrust may exceed trust.
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-6, 0.0
+#: Share of a score that is passed on, number of rounds beyond which something is wrong, change at which rounds end, and how far distrust
+#: may exceed trust.
+DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 1000, 1e-6, 0.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A rule: host, path and whether it allows.
@@ -56,7 +57,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def propagate(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised page rank over ``edges`` (kind, source, target, share) from ``seeds`` (kind, host, score; a kind's scores sum to one):
-    (kind, host, score). Several kinds run at once; only hosts with a score have rows."""
+    (kind, host, score). Several kinds run at once; only hosts with a score have rows. Rounds go on until the scores change by less than
+    SETTLED in all and no further host is reached; an error if that takes more than ``rounds``."""
     start = ws.table(seeds)
     scores = start
     for _ in range(rounds):
@@ -65,12 +67,14 @@ def propagate(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float
         parts = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score")).union(passed.select("kind", "target", F.col("score") * damping))
         new = ws.table(parts.groupBy("kind", "host").agg(F.sum("score").alias("score")))
         both = scores.select("kind", "host", (-F.col("score")).alias("score")).union(new)
-        moved = both.groupBy("kind", "host").agg(F.sum("score").alias("d")).agg(F.sum(F.abs("d"))).first()[0] or 0.0
+        moved, reached = both.groupBy("kind", "host").agg(F.sum("score").alias("d"), F.count_if(F.col("score") < 0).alias("old")).agg(F.sum(F.abs("d")), F.count_if(F.col("old") == 0)).first()
         if scores is not start:
             ws.drop(scores)
         scores = new
-        if moved < SETTLED:
+        if (moved or 0.0) < SETTLED and not reached:
             break
+    else:
+        raise RuntimeError(f"scores did not settle in {rounds} rounds")
     return scores
 
 

@@ -324,6 +324,22 @@ def test_propagation_by_hand(spark):
     assert linkgraph.judge(empty, registry.URL_RULES).count() == 0
 
 
+def test_propagation_runs_until_it_settles(spark):
+    n = 30
+    rows = [(0, "http://h0.com/de/1", None)] + [(k, f"http://h{k}.net/p", f"<a href='http://h{k - 1}.{'com' if k == 1 else 'net'}/'>x</a>") for k in range(1, n)]
+    out = {r["page_id"]: r for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), registry.URL_RULES).collect()}
+    names = [out[k]["host"] for k in range(n)]
+    want = page_rank({(a, b): 1 for a, b in zip(names, names[1:], strict=False)}, {names[0]: 1.0}, linkgraph.DAMPING, 200)
+    for k in range(n):
+        assert out[k]["distrust"] == pytest.approx(want[names[k]], rel=1e-6)
+        assert out[k]["verdict"] == "block"
+    edges = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 1.0)], "kind string, source string, target string, share double")
+    ws = linkgraph.Workspace(spark, "test")
+    with pytest.raises(RuntimeError):
+        linkgraph.propagate(ws, edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, score double"), rounds=5)
+    ws.close()
+
+
 # search
 
 
