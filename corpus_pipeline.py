@@ -31,16 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs.select(*COLUMNS), fit_quality(documents, labels))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``uid`` of each row, checkpointed so that every reader sees the same: ids may be null or repeat."""
+    return durable(spark, docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of near duplicates. Of rows that share an id all stay or go."""
-    classes = near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT)
-    return without(docs.select(*COLUMNS), classes.where("NOT kept").select("doc_id"))
+    """One row, that with the smallest id (nulls last, then any one), of each class of near duplicates. Rows are judged one by one."""
+    rows = numbered(spark, docs)
+    classes = near_duplicates(rows, NEAR_WORDS, NEAR_PERCENT, id_col="uid").select(F.col("doc_id").alias("uid"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    best = classes.join(rows.select("uid", "doc_id"), "uid").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("uid"))
+    return without(rows, classes.join(best, "uid", "left_anti"), "uid").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in windows of benchmark items."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), PHRASE_WORDS, HIT_SHARE, slop=0)
-    return without(docs.select(*COLUMNS), found.where("contaminated").select("doc_id"))
+    """Documents of whose words less than a twentieth stand in windows of benchmark items. Rows are judged one by one."""
+    rows = numbered(spark, docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), PHRASE_WORDS, HIT_SHARE, slop=0, id_col="uid")
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("uid")), "uid").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

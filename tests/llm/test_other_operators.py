@@ -416,3 +416,17 @@ def test_pipeline_on_odd_documents(spark, sf):
                 assert out.count() == 0
             else:
                 out.count()
+
+
+def test_pipeline_judges_rows_not_ids(spark, sf):
+    item = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if r["text"] and len(r["text"].split()) >= 20)
+    copy = "several plain words that stand in more than one row of this small table"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    tainted = spark.createDataFrame([(None, item, "en", "s", 1), (7, item, "en", "s", 1), (7, "nothing of the kind", "en", "s", 1), (None, copy, "en", "s", 1)], schema)
+    out = corpus_pipeline.decontamination(spark, tainted, sf)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("7", "nothing of the kind"), ("None", copy)]
+    copies = spark.createDataFrame([(None, copy, "en", "s", 1), (None, copy, "en", "s", 2), (9, copy, "en", "s", 3), (9, copy, "en", "s", 4), (3, copy + " indeed", "en", "s", 5), (3, "other text of the same id", "en", "s", 6), (None, "one", "en", "s", 7), (None, "one", "en", "s", 8), (None, None, "en", "s", 9), (None, "", "en", "s", 10)], schema)
+    out = corpus_pipeline.near_dedup(spark, copies.repartition(3), sf).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out if r["text"]) == [("3", "other text of the same id"), ("3", copy + " indeed"), ("None", "one")]
+    assert sum(not r["text"] for r in out) == 2
