@@ -12,6 +12,7 @@ import html as references
 import random
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,58 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A name tells of what the element has beside it, not what it is, from one of these on.
+_BESIDE = frozenset("has with without no".split())
+#: What bears on which elements are wrappers: no content of raw elements, and containers' tags.
+_FRAME = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)(" + "|".join(sorted(_CONTAINERS, key=len, reverse=True)) + r")(?=[\s>/])", re.IGNORECASE | re.DOTALL)
+_TAGS = re.compile(r"<[^>]*>?|&nbsp;?", re.IGNORECASE)
+
+
+def _wrappers(page: str) -> set[int]:
+    """Where elements begin that hold the page's content whatever their names say: those around ``main`` or, without one, around the only
+    outermost ``article``, and a form beside which the body has no words."""
+    stack: list[tuple[str, int]] = []
+    around: dict[str, list[list[int]]] = {"main": [], "article": []}
+    forms: list[list[int]] = []
+    bare, at, words = "", 0, 0  # words so far beside forms
+    inside = False
+    body = re.search(r"<body[\s>]", page, re.IGNORECASE)
+    for m in _FRAME.finditer(page, body.start() if body else 0):
+        if not inside and not words:
+            bare = _TAGS.sub(" ", page[at : m.start()])
+            words += len(bare.split())
+        at = m.end() if m[1] or not m[3] else max(page.find(">", m.end()) + 1, m.end())
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        if m[2]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    break
+            inside = inside and name != "form"
+            continue
+        if name in around and len(around[name]) < 2 and all(n != name for n, _ in stack):
+            around[name].append([place for _, place in stack])
+        if name == "form" and not inside:
+            inside = True
+            forms.append([m.start()])
+        stack.append((name, m.start()))
+    if not inside and not words:
+        words += len(_TAGS.sub(" ", page[at:]).split())
+    held = around["main"] or (around["article"] if len(around["article"]) == 1 else [])
+    out = {place for places in held for place in places}
+    if len(forms) == 1 and not words:
+        out.add(forms[0][0])
+    return out
 
 
 def _hints(attributes: str) -> int:
     """Bits that an element's class, id and role names and its visibility give to what it holds."""
     bits = _BIT["hidden"] if _HIDDEN.search(attributes) else 0
     for m in _NAMES.finditer(attributes):
-        parts = [p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or "")]
+        names = ([p.lower() for p in _PART.findall(name)] for name in (m[1] or m[2] or m[3] or "").split())
+        parts = [p for name in names for p in takewhile(lambda p: p not in _BESIDE, name)]
         if not HINTS_COMMENT.isdisjoint(parts):
             bits |= _BIT["comment"]
         elif not HINTS_OFF.isdisjoint(parts):
@@ -69,6 +115,7 @@ def parse(page: str) -> Iterator[tuple[int, int, int, str | None, int]]:
     inner = own = block = at = 0
     raw: dict[str, re.Pattern] = {}
     size = len(page)
+    wrappers = _wrappers(page) if re.search("<(?:main|article|form)", page, re.IGNORECASE) else ()
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
@@ -112,6 +159,8 @@ def parse(page: str) -> Iterator[tuple[int, int, int, str | None, int]]:
                 at = size
         elif name in _CONTAINERS:
             bits = _BIT.get(_ELEMENTS.get(name, ""), 0) | _hints(attributes)
+            if name in ("body", "main", "article") or end in wrappers:
+                bits &= ~(_BIT["hint_off"] | _BIT["form"])
             if name == "header" and inner & _BIT["article"]:
                 bits &= ~_BIT["header"]
             stack.append((name, inner))

@@ -56,6 +56,30 @@ def test_extraction_on_unseen_labelled_pages(scores):
     assert exact >= 0.9 * len(pages)
 
 
+TEXT = "A long paragraph of the article that has quite a few plain words in it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="single-post has-sidebar"><div><p>{TEXT}</p><p>{TEXT}</p></div></body>',
+        f'<body class="header-fixed"><nav><a href=x>menu</a></nav><main class="main header-fixed"><p>{TEXT}</p><p>{TEXT}</p></main></body>',
+        f'<body><div class="content with-sidebar"><p>{TEXT}</p><p>{TEXT}</p></div><div class="sidebar"><p>Other things to read</p></div></body>',
+        f'<body><div class="sidebar-layout"><article><p>{TEXT}</p><p>{TEXT}</p></article><aside><p>Other things to read</p></aside></div></body>',
+        f'<body><form id="all"><div><p>{TEXT}</p><p>{TEXT}</p></div></form></body>',
+    ],
+)
+def test_layout_words_do_not_hide_the_page(scores, page):
+    assert extraction.main_text(page, scores) == f"{TEXT}\n\n{TEXT}"
+
+
+def test_layout_words_still_hide_what_they_name(scores):
+    for off in ("main-nav", "sidebar", "post-share", "cookie-notice", "promo-box"):
+        assert extraction.main_text(f'<body><main><p>{TEXT}</p></main><div class="{off}"><p>Other things</p></div></body>', scores) == TEXT
+    cards = "".join(f'<article class="card"><p>Other things {k}</p></article>' for k in range(3))
+    assert "Other" not in extraction.main_text(f'<body><div class="content"><p>{TEXT}</p></div><div class="related">{cards}</div></body>', scores)
+
+
 def test_extract_rows(spark):
     rows = [(k, None if k % 2 else "u", p, "z") for k, (p, _) in enumerate(PAGES)] + [(None, "u", PAGES[0][0], "z")]
     out = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
