@@ -37,14 +37,6 @@ class Frame:
     prior: bool = False
     lag: bool = False
 
-    def spec(self) -> WindowSpec:
-        window = Window.partitionBy(*self.partition)
-        if self.seconds is not None:
-            return window.orderBy("_t").rangeBetween(-self.seconds, _NOW)
-        if self.prior:
-            return window.orderBy("_t", "transaction_id").rowsBetween(_BEGIN, -1)
-        return window.orderBy("_t", "transaction_id") if self.lag else window
-
 
 CARD, MERCHANT = "card_id", "_merchant"
 FRAMES: dict[str, Frame] = {
@@ -58,43 +50,74 @@ FRAMES: dict[str, Frame] = {
     "pair_prior": Frame((MERCHANT, CARD), prior=True),
 }
 
+_KINDS: dict[str, Callable[[Column], Column]] = {"count": F.count, "sum": F.sum, "mean": F.avg, "deviation": F.stddev_pop}
 
-@dataclass(frozen=True)
+
+@dataclass(frozen=True, eq=False)
 class Aggregate:
-    """A column read off a frame."""
+    """A column read off a frame: a count, sum, mean or (population) deviation of a value, or the value of the row before."""
 
     frame: str
-    value: Callable[[], Column]
+    kind: str
+    value: Column
+
+    def made(self) -> Column:
+        return _KINDS[self.kind](self.value)
+
+    def over(self, *slices: str, ghosts: bool = False) -> Column:
+        """The column, for each row, among the rows of its partition (and slice; ghosts stand behind the rows of their slice)."""
+        f = FRAMES[self.frame]
+        window = Window.partitionBy(*f.partition, *slices)
+        if f.seconds is not None:
+            return recent(self.kind, self.value, window.orderBy("_t"), f.seconds)
+        ordered = window.orderBy(*["_ghost"] * ghosts, "_t", "transaction_id")
+        if f.lag:
+            return F.lag(self.value).over(ordered)
+        return self.made().over(ordered.rowsBetween(_BEGIN, -1) if f.prior else window)
+
+
+def recent(kind: str, value: Column, ordered: WindowSpec, seconds: int) -> Column:
+    """A count or an exact sum over the rows of the last ``seconds``: the difference of two running totals. Both frames only grow, so that the cost is
+    linear in the rows of a key, however many of them lie within the range. Rows without a time see one another."""
+    upto, before = ordered.rangeBetween(_BEGIN, _NOW), ordered.rangeBetween(_BEGIN, -seconds - 1)
+
+    def difference(total: Column) -> Column:
+        return total.over(upto) - F.coalesce(F.when(F.col("_t").isNotNull(), total.over(before)), F.lit(0))
+
+    if kind == "count":
+        return difference(F.count(value))
+    return F.when(difference(F.count(value)) > 0, difference(F.sum(value)))
 
 
 def _moments(frame: str, key: str, exact: int | None) -> dict[str, Aggregate]:
     """Count, sum and sum of squares of the amount over a frame: of doubles, or of whole units in wide decimals."""
     amount = F.col("amount") if exact is None else cents(F.col("amount"), exact).cast("decimal(20,0)")
-    return {
-        f"_{key}_n": Aggregate(frame, lambda: F.count("amount")),
-        f"_{key}_s": Aggregate(frame, lambda: F.sum(amount)),
-        f"_{key}_q": Aggregate(frame, lambda: F.sum(amount * amount)),
-    }
+    return {f"_{key}_n": Aggregate(frame, "count", F.col("amount")), f"_{key}_s": Aggregate(frame, "sum", amount), f"_{key}_q": Aggregate(frame, "sum", amount * amount)}
 
 
 def aggregates(exact: int | None) -> dict[str, Aggregate]:
-    """All window columns by name. ``exact`` is the number of decimals that amounts have, for sums in whole units; None for sums of doubles."""
-    amount = F.col("amount") if exact is None else cents(F.col("amount"), exact)
-    out = {
-        "_before_t": Aggregate("card_before", lambda: F.lag("_t")),
-        "_before_lat": Aggregate("card_before", lambda: F.lag("latitude")),
-        "_before_lon": Aggregate("card_before", lambda: F.lag("longitude")),
+    """All window columns by name. ``exact`` is the number of decimals that amounts have, for sums in whole units; None for doubles, of which those of the last
+    hours are summed with ten decimals (running totals must be exact), amounts of 10**18 and more apart."""
+    amount = F.col("amount").try_cast("decimal(28,10)") if exact is None else cents(F.col("amount"), exact)
+    huge = {} if exact is not None else {f"_huge_{n}": Aggregate(f"card_{n}", "count", F.when(amount.isNull(), F.col("amount"))) for n in ("1h", "24h")}
+    one = F.lit(1)
+    return {
+        **{f"_before_{n}": Aggregate("card_before", "lag", F.col(c)) for n, c in _PLACE.items()},
         **_moments("card_prior", "card", exact),
         **_moments("category_prior", "cat", exact),
-        **(_moments("card_all", "all", exact) if exact is not None else {"_all_mean": Aggregate("card_all", lambda: F.avg("amount")), "_all_std": Aggregate("card_all", lambda: F.stddev_pop("amount"))}),
-        **{f"tx_count_last_{name}": Aggregate(f"card_{name}", lambda: F.count("*")) for name in RANGES},
-        **{f"_sum_{name}": Aggregate(f"card_{name}", lambda: F.sum(amount)) for name in ("1h", "24h")},
-        "_merchant_24h": Aggregate("merchant_24h", lambda: F.count("*")),
-        "_merchant_n": Aggregate("merchant_prior", lambda: F.count("transaction_id")),
-        "_merchant_f": Aggregate("merchant_prior", lambda: F.sum(F.coalesce("is_fraud", F.lit(0)))),
-        "_pair_n": Aggregate("pair_prior", lambda: F.count("transaction_id")),
+        **(_moments("card_all", "all", exact) if exact is not None else {"_all_mean": Aggregate("card_all", "mean", F.col("amount")), "_all_std": Aggregate("card_all", "deviation", F.col("amount"))}),
+        **{f"tx_count_last_{name}": Aggregate(f"card_{name}", "count", one) for name in RANGES},
+        **{f"_sum_{name}": Aggregate(f"card_{name}", "sum", amount) for name in ("1h", "24h")},
+        **huge,
+        "_merchant_24h": Aggregate("merchant_24h", "count", one),
+        "_merchant_n": Aggregate("merchant_prior", "count", F.col("transaction_id")),
+        "_merchant_f": Aggregate("merchant_prior", "sum", F.coalesce("is_fraud", F.lit(0))),
+        "_pair_n": Aggregate("pair_prior", "count", F.col("transaction_id")),
     }
-    return out
+
+
+#: Where and when the row before was.
+_PLACE = {"t": "_t", "lat": "latitude", "lon": "longitude"}
 
 
 def _mean(key: str, exact: int | None) -> Column:
@@ -152,7 +175,7 @@ def derived(exact: int | None) -> list[dict[str, Column]]:
         "hour_of_day": F.hour(time),
         "day_of_week": F.dayofweek(time),
         "time_since_last_tx_minutes": minutes,
-        **{f"amount_sum_last_{n}": (c(f"_sum_{n}") if exact is None else c(f"_sum_{n}").cast("double") / scale) for n in ("1h", "24h")},
+        **{f"amount_sum_last_{n}": (F.when(c(f"_huge_{n}") > 0, F.lit(float("inf"))).otherwise(c(f"_sum_{n}").cast("double")) if exact is None else c(f"_sum_{n}").cast("double") / scale) for n in ("1h", "24h")},
         "_mean_all": all_mean,
         "_std_all": all_std,
         "prior_tx_count_card": c("_card_n"),
@@ -192,44 +215,48 @@ def derived(exact: int | None) -> list[dict[str, Column]]:
     return [first, second, third, fourth]
 
 
-def sliced_merchant_columns(df: DataFrame) -> DataFrame:
-    """The merchant columns of ``aggregates`` without a partition that holds all of a merchant: for merchants with a large share of all rows.
+def sliced(df: DataFrame, key: str, every: dict[str, Aggregate]) -> DataFrame:
+    """``df`` with the columns ``every`` of frames that begin with ``key``, without a task that holds all rows of a key: for cards or merchants with a large
+    share of all rows.
 
-    Rows meet by merchant and day. A day's prior counts are the running totals of earlier days (one row per merchant and day) plus
-    those within the day; the last 24 hours reach into the day before, whose keys and times come along as ghosts. Pairs of merchant
-    and card meet by the pair. Results equal those of the plain frames.
+    Rows meet by key and day. What a frame saw on earlier days is a running total over one row per partition and day; the last 24 hours
+    reach into the day before, whose keys, times and amounts come along as ghosts. Results equal those of the plain frames.
     """
-    day = F.floor(F.col("_t") / RANGES["24h"])
+    day, order = F.floor(F.col("_t") / RANGES["24h"]), F.asc_nulls_first("_day")
+    by_frame = {n: (a, FRAMES[a.frame]) for n, a in every.items()}
     df = df.withColumn("_day", day)
-    fraud = F.coalesce("is_fraud", F.lit(0))
-    totals = df.groupBy(MERCHANT, "_day").agg(F.count("transaction_id").alias("n"), F.sum(fraud).alias("f"))
-    before = Window.partitionBy(MERCHANT).orderBy(F.asc_nulls_first("_day")).rowsBetween(_BEGIN, -1)
-    zero = F.lit(0)
-    totals = totals.select(F.col(MERCHANT).alias("_m"), F.col("_day").alias("_d"), F.coalesce(F.sum("n").over(before), zero).alias("_before_n"), F.sum("f").over(before).alias("_before_f"))
-    ghosts = df.where("_t IS NOT NULL").select(F.col(MERCHANT), (F.col("_day") + 1).alias("_day"), "_t", F.lit(True).alias("_ghost"))
+    ghosts = df.where("_t IS NOT NULL").select(F.col(key), (F.col("_day") + 1).alias("_day"), "_t", "amount", F.lit(True).alias("_ghost"))
     both = df.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
-    own = Window.partitionBy(MERCHANT, "_day")
-    prior = own.orderBy("_ghost", "_t", "transaction_id").rowsBetween(_BEGIN, -1)
-    both = both.select(
-        "*",
-        F.count("*").over(own.orderBy("_t").rangeBetween(-RANGES["24h"], _NOW)).alias("_merchant_24h"),
-        F.count("transaction_id").over(prior).alias("_in_day_n"),
-        F.sum(fraud).over(prior).alias("_in_day_f"),
-    )
-    joined = both.where("NOT _ghost").join(totals, F.col(MERCHANT).eqNullSafe(F.col("_m")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
-    f = F.when(F.col("_before_f").isNotNull() | F.col("_in_day_f").isNotNull(), F.coalesce("_before_f", zero) + F.coalesce("_in_day_f", zero))
-    joined = joined.withColumns({"_merchant_n": F.coalesce("_before_n", zero) + F.col("_in_day_n"), "_merchant_f": f})
-    joined = joined.drop("_m", "_d", "_before_n", "_before_f", "_in_day_n", "_in_day_f", "_ghost", "_day")
-    pair = Frame((CARD, MERCHANT), prior=True).spec()
-    return joined.withColumn("_pair_n", F.count("transaction_id").over(pair))
-
-
-def feature_table(df: DataFrame, exact: int | None = None, references: bool = True, slice_merchants: bool = False) -> DataFrame:
+    inner = {n: a.over("_day", ghosts=True) for n, (a, f) in by_frame.items() if f.seconds or f.prior or f.lag}
+    first = F.row_number().over(Window.partitionBy(key, "_day").orderBy("_ghost", "_t", "transaction_id")) == 1
+    out = both.select("*", *[c.alias(n) for n, c in inner.items()], first.alias("_first")).where("NOT _ghost").drop("_ghost")
+    partitions = dict.fromkeys(f.partition for _, f in by_frame.values() if f.prior or f.lag)
+    for columns in partitions:
+        prior = {n: a for n, (a, f) in by_frame.items() if f.prior and f.partition == columns}
+        lags = {n: a for n, (a, f) in by_frame.items() if f.lag and f.partition == columns}
+        last = [F.max(F.struct("_t", "transaction_id", *[a.value.alias(n) for n, a in lags.items()])).alias("_last")] if lags else []
+        totals = df.groupBy(*columns, "_day").agg(*[a.made().alias(n) for n, a in prior.items()], *last)
+        before = Window.partitionBy(*columns).orderBy(order).rowsBetween(_BEGIN, -1)
+        seen = [F.sum(n).over(before).alias(f"{n}_before") for n in prior] + [F.max("_last").over(before).alias("_last")] * bool(lags)
+        totals = totals.select(*[F.col(c).alias(f"{c}_key") for c in (*columns, "_day")], *seen)
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_key")) for c in (*columns, "_day")]
+        out = out.join(totals, same, "left").drop(*[f"{c}_key" for c in (*columns, "_day")])
+        zero = F.lit(0)
+        sums = {n: F.when(F.col(n).isNotNull() | F.col(f"{n}_before").isNotNull(), F.coalesce(n, zero) + F.coalesce(f"{n}_before", zero)) for n in prior}
+        out = out.withColumns(sums | {n: F.when(F.col("_first"), F.col(f"_last.{n}")).otherwise(F.col(n)) for n in lags}).drop("_last", *[f"{n}_before" for n in prior])
+    whole = {n: a for n, (a, f) in by_frame.items() if not (f.seconds or f.prior or f.lag)}
+    if whole:
+        of_key = df.groupBy(F.col(key).alias("_whole")).agg(*[a.made().alias(n) for n, a in whole.items()])
+        out = out.join(of_key, F.col(key).eqNullSafe(F.col("_whole")), "left").drop("_whole")
+    return out.drop("_day", "_first")
+
+
+def feature_table(df: DataFrame, exact: int | None = None, references: bool = True, slice_merchants: bool = False, slice_cards: bool = False) -> DataFrame:
     """Cleaned transactions -> the 17 carried columns and the 36 features, in the order of GOLD_COLUMNS, one row for each row of ``df``.
 
     ``exact``: amounts have that many decimals, and sums are taken in whole units (independent of the order of addition); None sums doubles.
     ``references``: look up referenced transactions, which then stand in for the previous one in distance, hours and speed.
-    ``slice_merchants``: no partition holds all rows of a merchant (see ``sliced_merchant_columns``).
+    ``slice_merchants``, ``slice_cards``: no task holds all rows of a merchant, or card (see ``sliced``).
     """
     df = prepare(df)
     if references:
@@ -237,11 +264,9 @@ def feature_table(df: DataFrame, exact: int | None = None, references: bool = Tr
     else:
         df = df.withColumns({"_ref_id": F.lit(None).cast("string"), "_ref_t": F.lit(None).cast("long"), "_ref_lat": F.lit(None).cast("double"), "_ref_lon": F.lit(None).cast("double")})
     every = aggregates(exact)
-    for key in (CARD,) if slice_merchants else (CARD, MERCHANT):  # one exchange each: all frames of a key begin with it
-        own = {name: a.value().over(FRAMES[a.frame].spec()) for name, a in every.items() if FRAMES[a.frame].partition[0] == key}
-        df = df.select("*", *[column.alias(name) for name, column in own.items()])
-    if slice_merchants:
-        df = sliced_merchant_columns(df)
+    for key, slicing in ((CARD, slice_cards), (MERCHANT, slice_merchants)):  # one exchange each: all frames of a key begin with it
+        own = {name: a for name, a in every.items() if FRAMES[a.frame].partition[0] == key}
+        df = sliced(df, key, own) if slicing else df.select("*", *[a.over().alias(name) for name, a in own.items()])
     for stage in derived(exact):
         df = df.withColumns(stage)
     return df.withColumn("event_time_unix", F.col("_t")).select(*GOLD_COLUMNS)

@@ -25,11 +25,11 @@ def run_silver_transform(spark: SparkSession, bronze_path: str | None = None, si
     return write_parquet(clean(spark.read.parquet(bronze_path or layers.bronze)), silver_path or layers.silver)
 
 
-def run_gold_features(spark: SparkSession, silver_path: str | None = None, gold_path: str | None = None, exact: int | None = None) -> DataFrame:
-    """The feature table."""
+def run_gold_features(spark: SparkSession, silver_path: str | None = None, gold_path: str | None = None, exact: int | None = None, slice_merchants: bool = False, slice_cards: bool = False) -> DataFrame:
+    """The feature table; with slices for merchants or cards that have a large share of all rows (see ``feature_table``)."""
     pin_utc(spark)
     layers = Layers()
-    return write_parquet(feature_table(spark.read.parquet(silver_path or layers.silver), exact), gold_path or layers.gold)
+    return write_parquet(feature_table(spark.read.parquet(silver_path or layers.silver), exact, slice_merchants=slice_merchants, slice_cards=slice_cards), gold_path or layers.gold)
 
 
 def normalize_benchmark_raw(spark: SparkSession, input_path: str | None = None, output_path: str | None = None, config: BenchmarkSource | None = None) -> DataFrame:

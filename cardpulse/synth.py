@@ -71,6 +71,11 @@ def minimum_gap(df: DataFrame, seconds: int, partition: str, time: str, tie: str
     return df.withColumn(time, F.max(F.col(time) - F.col("_i") * seconds).over(upto) + F.col("_i") * seconds).drop("_i")
 
 
+def card_of(c: GeneratorConfig, row: Column) -> Column:
+    """The card of a transaction by its row."""
+    return F.floor(uniform(c.seed, "card", row) * c.num_cards).cast("long")
+
+
 def generate(spark: SparkSession, config: GeneratorConfig | None = None) -> DataFrame:
     """Canonical transactions with ``anomaly_type`` none, spending_spike or impossible_travel. Travel rows come on top of ``num_transactions`` and refer to
     the transaction that they contradict."""
@@ -79,7 +84,7 @@ def generate(spark: SparkSession, config: GeneratorConfig | None = None) -> Data
         raise ValueError("a data set has transactions and cards")
     row, s = F.col("id"), c.seed
     start, length = F.unix_seconds(F.lit(c.start_date).cast("timestamp")), F.unix_seconds(F.lit(c.end_date).cast("timestamp")) - F.unix_seconds(F.lit(c.start_date).cast("timestamp"))
-    card = F.floor(uniform(s, "card", row) * c.num_cards).cast("long")
+    card = card_of(c, row)
     home_lat = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.lit(c.geo_center_lat) + F.lit(c.geo_std) * normal(s, "home-lat", F.col("card"))))
     home_lon = F.greatest(F.lit(-180.0), F.least(F.lit(180.0), F.lit(c.geo_center_lon) + F.lit(c.geo_std) * normal(s, "home-lon", F.col("card"))))
     df = spark.range(c.num_transactions).withColumn("card", card)
@@ -102,17 +107,19 @@ def generate(spark: SparkSession, config: GeneratorConfig | None = None) -> Data
         F.lit(None).cast("string").alias("ref_transaction_id"),
     )
     df = minimum_gap(df, 60 * c.normal_min_minutes_between_transactions, "card_id", "t", "transaction_id")
-    travel = min(round(c.num_transactions * c.anomaly_ratio * c.impossible_travel_fraction), 1 << 24)
+    travel = round(c.num_transactions * c.anomaly_ratio * c.impossible_travel_fraction)
     if travel:
         df = df.unionByName(_travel(spark, df, c, travel))
     return df.withColumn("event_time", iso_time(F.col("t"))).select("transaction_id", "card_id", "event_time", "amount", "merchant_category", "latitude", "longitude", "anomaly_type", "ref_transaction_id")
 
 
 def _travel(spark: SparkSession, df: DataFrame, c: GeneratorConfig, n: int) -> DataFrame:
-    """``n`` rows far from, and a tenth of the plausible time after, the latest transaction of a random card each."""
+    """``n`` rows far from, and a tenth of the plausible time after, the latest transaction of the card of a random transaction each: a card without
+    transactions is never drawn, so that no row is lost."""
     last = F.max(F.struct("t", "transaction_id", "latitude", "longitude", "merchant_category")).alias("last")
     latest = df.groupBy("card_id").agg(last).select("card_id", "last.*")
-    rows = spark.range(n).select(F.col("id"), F.format_string("card_%06d", F.floor(uniform(c.seed, "travel-card", F.col("id")) * c.num_cards).cast("long")).alias("card_id"))
+    drawn = F.floor(uniform(c.seed, "travel-card", F.col("id")) * c.num_transactions).cast("long")
+    rows = spark.range(n).select(F.col("id"), F.format_string("card_%06d", card_of(c, drawn)).alias("card_id"))
     angle = c.min_distance_km_impossible_travel * 1.2 / EARTH_KM  # along the meridian, away from the nearer pole
     lat = F.when(F.col("latitude") > 0, F.col("latitude") - math.degrees(angle)).otherwise(F.col("latitude") + math.degrees(angle))
     return rows.join(latest, "card_id").select(

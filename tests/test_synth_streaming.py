@@ -41,6 +41,15 @@ def test_generator(spark):
     assert abs(shares["retail"] - 0.4) < 0.05
 
 
+def test_every_travel_row_is_there(spark):
+    """Also with far more cards than transactions, most of which have none."""
+    config = synth.GeneratorConfig(num_transactions=300, num_cards=5000, anomaly_ratio=0.5)
+    df = synth.generate(spark, config)
+    travel = df.where("anomaly_type = 'impossible_travel'")
+    assert travel.count() == 75
+    assert travel.join(df.select(F.col("transaction_id").alias("i"), F.col("card_id").alias("c")), (F.col("ref_transaction_id") == F.col("i")) & (F.col("card_id") == F.col("c")), "left_semi").count() == 75
+
+
 def test_generator_writes_and_loads(spark, tmp_path):
     (tmp_path / "g.yaml").write_text("num_transactions: 4\nnum_cards: 2\nanomaly_ratio: 0.0\nmerchant_categories:\n  - {name: retail, weight: 1.0}\n")
     config = synth.GeneratorConfig.load(tmp_path / "g.yaml", output_path=str(tmp_path / "raw"))
