@@ -57,6 +57,95 @@ def test_extraction_on_unseen_labelled_pages(scores):
 
 
 TEXT = "A long paragraph of the article that has quite a few plain words in it."
+MORE = "Then a second paragraph follows, somewhat shorter than the first."
+
+#: Pages in layouts of common publishing systems, none of which the trainer makes, with their texts.
+SAVED = {
+    "blog": (
+        f"""<!doctype html><html><head><title>T</title><meta charset=utf-8></head><body class="post-template-default single single-post no-sidebar comments-open">
+        <div id="page" class="site header-fixed"><header id="masthead" class="site-header"><p class="site-title"><a href="/">My site</a></p><p>Just another weblog</p></header>
+        <div id="content" class="site-content widget-area"><article id="post-7" class="post type-post"><header class="entry-header"><h1 class="entry-title">The title</h1></header>
+        <div class="entry-content"><p>{TEXT}</p><p>{MORE}</p><div class="sharedaddy share-links"><p>Share this page with friends</p></div></div></article>
+        <div id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li><article class="comment-body"><p>{"I liked this very much indeed. " * 20}</p></article></li></ol></div></div>
+        <aside id="secondary"><p>Recent things of interest</p></aside><footer id="colophon" class="site-footer"><p>Proudly powered</p></footer></div></body></html>""",
+        f"The title\n\n{TEXT}\n\n{MORE}",
+    ),
+    "table layout": (
+        f"""<HTML><BODY BGCOLOR=white><TABLE WIDTH=100%><TR><TD WIDTH=150><UL><LI><A HREF=a.html>Home</A><LI><A HREF=b.html>News and views</A><LI><A HREF=c.html>About</A></UL></TD>
+        <TD><H1>Old page</H1><P>{TEXT}<P>{MORE}</TD></TR></TABLE></BODY></HTML>""",
+        f"Old page\n\n{TEXT}\n\n{MORE}",
+    ),
+    "one form": (
+        f"""<body><form method="post" action="/p.aspx" id="aspnetForm"><input type=hidden name=__VIEWSTATE value="x"><div id="wrap"><div id="nav"><ul><li><a href="/">Start</a></li><li><a href="/x">Other</a></li></ul></div>
+        <div id="main"><h2>News</h2><p>{TEXT}</p><ul><li>First point of the text</li><li>Second point of the text</li></ul><p>{MORE}</p></div></div></form></body>""",
+        f"News\n\n{TEXT}\n\nFirst point of the text\n\nSecond point of the text\n\n{MORE}",
+    ),
+    "misnamed": (
+        f"""<body><div class="top-nav"><ul><li><a href="/">Start</a></li></ul></div><div class="nav-container"><div class="inner">{"".join(f"<p>{TEXT}</p>" for _ in range(5))}</div></div></body>""",
+        "\n\n".join([TEXT] * 5),
+    ),
+    "documentation": (
+        f"""<body><nav role="navigation"><a href="/">Docs</a> &raquo; <a href="/x">Part</a></nav><main class="doc-main with-toc"><h1>Install</h1><p>{TEXT}</p><pre>run   this
+        now</pre><blockquote>{MORE}</blockquote></main><div role="contentinfo"><p>&copy; 2020 somebody</p></div></body>""",
+        f"Install\n\n{TEXT}\n\nrun this now\n\n{MORE}",
+    ),
+    "many comments": (
+        f"""<body><div class="story"><p>{TEXT}</p></div><section class="comments">{"".join(f"<div class=comment><p>{MORE}</p></div>" for _ in range(30))}</section></body>""",
+        TEXT,
+    ),
+}
+
+
+@pytest.mark.parametrize("layout", SAVED)
+def test_saved_pages(scores, layout):
+    page, text = SAVED[layout]
+    assert extraction.main_text(page, scores) == text
+
+
+def test_pages_of_the_test_tables(spark, scores):
+    """The driver's pages: title and paragraphs of the article, without menu, advert and footer."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert rows
+    for r in rows:
+        article = r["html"].split("<article>")[1].split("</article>")[0]
+        want = [" ".join(extraction.references.unescape(extraction.re.sub("<[^>]*>", " " if "br" in b else "", b.replace("<br>", " "))).split()) for b in extraction.re.split("</?(?:p|h1)>", article)]
+        assert extraction.main_text(r["html"], scores) == "\n\n".join(b for b in want if b)
+
+
+def test_names_and_attributes(scores):
+    for said, names in {"off": ("sidebar", "ad"), "off_part": ("main-nav", "post-share", "widget-area", "cookieNotice"), "on": ("content",), "on_part": ("post-content", "content-with-sidebar", "articleBody"), "comment": ("comments", "comment-list"), None: ("no-sidebar", "has-sidebar", "header-fixed", "side-by-side", "sidebar-layout", "search-off", "share-test", "wrapper", "no-comments", "12")}.items():
+        assert {extraction._said(n) for n in names} == {said}
+    assert extraction._attributes(""" Class='a b' id=x HIDDEN data-x="display:none" class=z""") == {"class": "a b", "id": "x", "hidden": "", "data-x": "display:none"}
+    for attribute in ('title="the hidden valley"', 'data-note="not display:none at all"', "style='color:red;display:block'"):
+        assert extraction.main_text(f"<article><p {attribute}>{TEXT}</p></article>", scores) == TEXT
+    for attribute in ("hidden", "style='color: red; display : none'", 'aria-hidden="true"', "style=visibility:hidden"):
+        assert extraction.main_text(f"<article><p>{TEXT} <span {attribute}>X <span>y</span> z</span></p><p {attribute}>{MORE}</p><div {attribute}><p>{MORE}</p></div></article>", scores) == TEXT
+
+
+def test_names_on_wrappers_hide_nothing(scores):
+    for page in (
+        f'<body class="single-post no-sidebar"><article><p>{TEXT}</p></article></body>',
+        f'<body class="page search-off"><article><p>{TEXT}</p></article></body>',
+        f'<div class="content widget-area"><article><p>{TEXT}</p></article></div>',
+        f'<div id="page" class="site header-fixed"><article><p>{TEXT}</p></article></div>',
+        f'<article class="post share-test"><p>{TEXT}</p></article>',
+        f'<article><div class="side-by-side"><p>{TEXT}</p></div></article>',
+    ):
+        assert extraction.main_text(page, scores) == TEXT
+
+
+def test_parsing_is_linear_in_the_page(scores):
+    import time
+
+    def seconds(page):
+        begun = time.perf_counter()
+        extraction.main_text(page, scores)
+        return time.perf_counter() - begun
+
+    for what in ("<div>", "<option>a", "<title>a", '<p ">a', "<b hidden>", "<svg>"):
+        tail = "</section>" if what == "<div>" else ""
+        small, large = (seconds(what * n + tail * n) for n in (12500, 100000))
+        assert large < 8 * 4 * max(small, 0.05), what
 
 
 @pytest.mark.parametrize(
@@ -85,12 +174,21 @@ def test_extract_rows(spark):
     out = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(out) == len(rows)
     assert all(r["text"] == PAGES[r["page_id"] or 0][1] and r["n_chars"] == len(r["text"]) for r in out)
+    assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "<body>" + f"<p>{TEXT}</p>" * 20000 + "</body>"
+    assert extraction.extract(spark.createDataFrame([(1, None, long)], "page_id long, url string, html string")).first()["text"] == "\n\n".join([TEXT] * 20000)
 
 
 def test_best_run():
     assert extraction.best_run([]) == (0, 0)
     assert extraction.best_run([-1, -2]) == (0, 0)
     assert extraction.best_run([1, -5, 2, 3, -1, 2, -9, 4]) == (2, 6)
+    rng = random.Random(2)
+    for _ in range(300):
+        own = [rng.randint(-4, 4) for _ in range(rng.randint(0, 14))]
+        sums = {(a, b): sum(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1)}
+        a, b = extraction.best_run(own)
+        assert sum(own[a:b]) == max([0, *sums.values()])
 
 
 def test_stray_quotes_and_cut_tags(scores):
