@@ -1,27 +1,29 @@
 """Mixture-controlled sequence packing by deficit round-robin.
 
-Documents are tokenised once, into a written table of ids, and dealt at random into shards of about half a million tokens.
-A shard packs its documents window by window: every source's deficit grows by its share of the window, the source with the largest
-deficit is served next, documents are cut where a turn or a window ends, and what a source is owed at the end of a window
-stays in its deficit. The deficits with which a shard begins are those the shards before it left, known from running sums of the
-stored lengths, so that shards are packed in parallel. A shard's last, unfilled window becomes sequences whose
-lengths are powers of two: there is no padding at all.
+Documents are tokenised once, into a written table of ids. A plan says how many tokens of each source the first x tokens of the output hold: at the
+target shares until a source runs dry, at those of the others, in proportion, from there on. A document's place in its source is random, the plan
+turns it into a place in the output, and places are cut into shards of about half a million tokens. A shard packs its documents window by
+window: every source's deficit grows by its share of the window, the source with the largest deficit is served next, documents are cut
+where a turn or a window ends, and what a source is owed at the end of a window stays in its deficit. The deficits with which a shard begins
+are what the plan promised less what the shards before it hold, known from running sums of the stored lengths, so that shards are
+packed in parallel. A shard's last, unfilled window becomes sequences whose lengths are powers of two: there is no padding at all.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import Workspace, durable, map_arrow
+from .store import Workspace, dealt, durable, map_arrow
 
 #: Tokens of a shard, and the most shards (beyond, shards grow).
 SHARD_TOKENS, MOST_SHARDS = 1 << 19, 1 << 20
@@ -31,7 +33,7 @@ LEAST_TURN, LONGEST_TURN = 256, 512
 REMEMBERED, TOGETHER = 1 << 20, 256
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
@@ -41,7 +43,7 @@ class WordEncoder:
     marks and lower-cases, and whose last token of a word is marked as such, as in the word-end vocabulary: a text's ids
     are then its words' ids end to end, and a word's are those of its letters and of the marks after them. Words are
     remembered by 64-bit hash and length in an open-addressed table, so that a step of texts is looked up and put together in a few vector
-    operations and only new words reach the tokenizer.
+    operations and only new words reach the tokenizer. A text that holds the string of an added token, in any case, is left to the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -49,7 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.end_id = end_id
         self._forget()
@@ -141,6 +143,23 @@ class WordEncoder:
         ends = words.first[1:] + np.arange(rows)
         return ids, np.concatenate(([0], total[ends]))
 
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids of these texts, each with the end id, end to end, their borders) over a column."""
+        texts = texts.fill_null("")
+        odd = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            odd |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        for a, b, words in tk.each_words(texts, "space", True):
+            ids, border = self(words, b - a)
+            if odd[a:b].any():
+                each = [self.whole(texts[a + k].as_py()) if odd[a + k] else ids[border[k] : border[k + 1]] for k in range(b - a)]
+                ids, border = np.concatenate(each), np.concatenate(([0], np.cumsum([len(e) for e in each])))
+            yield a, b, ids, border
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text as the tokenizer gives them, and the end id."""
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], self.kind)
+
     def _by_halves(self, words: tk.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """A single text with more distinct words than are remembered: tokenised as it is."""
         out = [np.array([*self.tokenizer.encode_batch_fast([words.data[a:b].tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.end_id], self.kind) for a, b in zip(np.append(words.start, 0)[words.first[:-1]], np.append(words.end, 0)[words.first[1:] - 1], strict=True)]
@@ -164,11 +183,12 @@ def _tokenise(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("slot", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(path, WordEncoder(path, end_id))
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = WordEncoder(path, end_id)
+        encode = _encoders[path, end_id]
         seen = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a, b, words in tk.each_words(batch.column(2), "space", True):
-                ids, border = encode(words, b - a)
+            for a, b, ids, border in encode.column(batch.column(2)):
                 # a pseudo-random slot deals neighbours, copies and repeated ids to different shards
                 slot = (tk.mix(np.arange(seen, seen + b - a, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
                 seen += b - a
@@ -256,37 +276,98 @@ def _pack(window: int, itemsize: int, ids_too: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, ids_too: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pack all documents into sequences of at most ``window`` (a power of two) tokens, mixing sources by their share of all tokens.
+Knots = dict[str | None, list[tuple[float, float]]]
+
+
+def plan_of(totals: Mapping[str | None, int], targets: Mapping[str | None, float]) -> tuple[Knots, float]:
+    """How many tokens of each source with a target the first x tokens hold, as knots (x, tokens) of a broken line, and where the last of these
+    sources runs dry. Each source takes its share until it is dry; the others then share its part in proportion to theirs."""
+    left = {s: float(totals[s]) for s, p in targets.items() if p > 0 and totals.get(s, 0) > 0}
+    knots: Knots = {s: [(0.0, 0.0)] for s in left}
+    x = 0.0
+    while left:
+        whole = sum(targets[s] for s in left)
+        dry = min(left, key=lambda s: left[s] * whole / targets[s])
+        step = left[dry] * whole / targets[dry]
+        x += step
+        for s in left:
+            left[s] = 0.0 if s == dry else left[s] - step * targets[s] / whole
+            knots[s].append((x, totals[s] - left[s]))
+        left = {s: n for s, n in left.items() if s != dry and n > 0}
+    return knots, x
+
+
+def _along(x: Column, xs: str, ys: str) -> Column:
+    """The broken line through (xs, ys), both rising, at ``x``; where it is upright, its end once ``x`` has got there."""
+    own = F.col(xs)
+    part = F.transform(
+        F.sequence(F.lit(1), F.size(own) - 1),
+        lambda i: F.when(own[i] > own[i - 1], (F.greatest(F.least(x, own[i]), own[i - 1]) - own[i - 1]) / (own[i] - own[i - 1])).otherwise((x >= own[i]).cast("double")) * (F.col(ys)[i] - F.col(ys)[i - 1]),
+    )
+    return F.aggregate(part, F.lit(0.0), lambda total, p: total + p)
+
+
+def _plan(spark: SparkSession, tokens: DataFrame, total: int, targets: Mapping[str | None, float] | None) -> DataFrame:
+    """(planned, own, xs, ys) for each source: its tokens, and the knots of its line."""
+    own = tokens.groupBy(F.col("source").alias("planned")).agg(F.sum("n_tokens").cast("double").alias("own"))
+    xs, ys = "array<double>", "array<double>"
+    if targets is None:
+        begin = F.lit(0.0)
+        made = own.withColumns({"xs": F.lit(None).cast(xs), "ys": F.lit(None).cast(ys)})
+    else:  # as many sources as there are targets reach the driver
+        names = spark.createDataFrame([(s,) for s in targets], "s string")
+        totals = {r["planned"]: int(r["own"]) for r in own.join(F.broadcast(names), F.col("planned").eqNullSafe(F.col("s")), "left_semi").collect()}
+        knots, end = plan_of(totals, targets)
+        rows = [(s, [x for x, _ in k], [y for _, y in k]) for s, k in knots.items()]
+        begin = F.lit(float(end))
+        made = own.join(F.broadcast(spark.createDataFrame(rows, f"s string, xs {xs}, ys {ys}")), F.col("planned").eqNullSafe(F.col("s")), "left").drop("s")
+    # sources without a target share what is left by their sizes
+    rest = F.when(begin > 0, F.array(F.lit(0.0), begin, F.lit(float(total)))).otherwise(F.array(F.lit(0.0), F.lit(float(total))))
+    rest_y = F.when(begin > 0, F.array(F.lit(0.0), F.lit(0.0), F.col("own"))).otherwise(F.array(F.lit(0.0), F.col("own")))
+    return made.select("planned", "own", F.coalesce("xs", rest).alias("xs"), F.coalesce("ys", rest_y).alias("ys"))
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, ids_too: bool = False, targets: Mapping[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Pack all documents into sequences of at most ``window`` (a power of two) tokens that mix sources by ``targets``.
+
+    ``targets`` are shares of tokens by source, not negative, of any sum; without them sources are mixed by their share of all tokens. As every
+    token is packed, targets hold until a source runs dry; from there on the others share its part in proportion, and sources without a
+    target come last. Sequences are in the order of ``sequence_id``.
 
     A document's tokens are its text's ids by the tokenizer file ``tokenizer`` (see WordEncoder) and then ``end_id``. A row for
     each piece: ``doc_id``, ``start`` and ``length`` in the document, ``ids_crc32`` (of little-endian 32-bit ids), ``doc_tokens``, ``sequence_id``,
     ``offset`` in the sequence, ``source``, and with ``ids_too`` the ``ids``. Every token is in one piece; sequences are full but for a
     shard's last ones, which are powers of two long. Null texts are empty: their one token is ``end_id``. A null source is a
-    source of its own; ids may repeat or be null. Other columns are ignored; an empty table gives no pieces.
+    source of its own; ids may repeat or be null, and repeated rows are documents each. A very long text is tokenised and packed whole, by one task, in
+    memory proportional to its length. Other columns are ignored; an empty table gives no pieces.
     """
+    if targets is not None and any(p < 0 for p in targets.values()):
+        raise ValueError("a target share is not negative")
     spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "packing")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    tokens = ws.table(map_arrow(source, _tokenise(tokenizer, end_id), _TOKENS))
-    itemsize = WordEncoder(tokenizer, end_id).kind.itemsize
-
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = int(np.clip(-(-total // SHARD_TOKENS), 1, MOST_SHARDS))
-    sharded = tokens.withColumn("shard", F.col("slot") % shards)
-    counts = ws.table(sharded.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")))
-    shares = counts.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
-    # tokens of all sources before each shard (at most MOST_SHARDS rows), and of each source
-    all_before = counts.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("all_before", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "all_before")
-    own_before = F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    heads = counts.withColumn("own_before", own_before).join(all_before, "shard").join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    zero = F.lit(0)
-    heads = heads.select("shard", F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), zero.cast("long").alias("n_tokens"), "share", (F.col("share") * F.coalesce("all_before", zero) - F.coalesce("own_before", zero)).alias("deficit"), zero.cast("long").alias("slot"))
-    none = F.lit(None).cast("double")
-    bodies = sharded.select("shard", "doc_id", "source", "ids", "n_tokens", none.alias("share"), none.alias("deficit"), "slot")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ws.table(heads).union(bodies).repartition(n, "shard").sortWithinPartitions("shard", F.col("ids").isNotNull(), "slot", "source")
-    rows = rows.select("shard", "doc_id", "source", "ids", "n_tokens", "share", "deficit")
-    out = durable(spark, map_arrow(rows, _pack(window, itemsize, ids_too), _PIECES + ", ids array<int>" * ids_too))
-    ws.close()
-    return out
+    with Workspace(spark, "packing") as ws:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+        tokens = ws.table(map_arrow(source, _tokenise(tokenizer, end_id), _TOKENS))
+        itemsize = WordEncoder(tokenizer, end_id).kind.itemsize
+
+        total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+        shards = int(np.clip(-(-total // SHARD_TOKENS), 1, MOST_SHARDS))
+        plan = ws.table(_plan(spark, tokens, total, targets))
+        place = _along(F.col("slot") / F.lit(float(1 << 63)) * F.col("own"), "ys", "xs")
+        shard = F.least(F.floor(place / F.lit(float(max(total, 1))) * shards), F.lit(shards - 1)).cast("long")
+        sharded = tokens.join(plan, F.col("source").eqNullSafe(F.col("planned"))).withColumn("shard", shard).select(*tokens.columns, "shard")
+        counts = ws.table(sharded.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n")))
+        # tokens of all sources before each shard (at most MOST_SHARDS rows), and of each source
+        of_shard = counts.groupBy("shard").agg(F.sum("n").alias("all"))
+        all_before = F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+        of_shard = of_shard.select("shard", "all", all_before.alias("all_before"))
+        own_before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        heads = counts.withColumn("own_before", own_before).join(of_shard, "shard").join(plan, F.col("source").eqNullSafe(F.col("planned")))
+        promised = _along(F.col("all_before"), "xs", "ys")
+        share = (_along(F.col("all_before") + F.col("all"), "xs", "ys") - promised) / F.col("all")
+        zero = F.lit(0).cast("long")
+        heads = heads.select("shard", F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), zero.alias("n_tokens"), share.alias("share"), (promised - F.col("own_before")).alias("deficit"), zero.alias("slot"))
+        none = F.lit(None).cast("double")
+        bodies = sharded.select("shard", "doc_id", "source", "ids", "n_tokens", none.alias("share"), none.alias("deficit"), "slot")
+        rows = dealt(ws.table(heads).union(bodies), "shard", total * itemsize).sortWithinPartitions("shard", F.col("ids").isNotNull(), "slot", "source")
+        rows = rows.select("shard", "doc_id", "source", "ids", "n_tokens", "share", "deficit")
+        return durable(spark, map_arrow(rows, _pack(window, itemsize, ids_too), _PIECES + ", ids array<int>" * ids_too))

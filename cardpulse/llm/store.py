@@ -1,8 +1,8 @@
 """Written intermediate tables, connected components and small helpers shared by the operators.
 
-Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir`` (all executors share it); only
-where that is unset, as in local tests, a folder of this process is used. They cut lineage: a lost executor
-costs a re-read, never a recomputation of earlier stages.
+Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``, or else to the context's checkpoint folder (all
+executors share it); only on a local master, as in tests, a folder of this process stands in, elsewhere it is an error that none is
+named. They cut lineage: a lost executor costs a re-read, never a recomputation of earlier stages.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import contextlib
 import ctypes
 import gc
 import io
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,6 +29,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch: what a Python worker and the JVM beside it hold of a partition at once.
 BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Bytes of data for each partition of a shuffle, where the session's number of partitions would make them larger.
+PART_BYTES = 128 << 20
 
 #: Ids (of 8 bytes) that are still broadcast.
 SENT_IDS = 1 << 20
@@ -39,22 +44,33 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this process where none is configured (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
+    """The cluster's shared folder: that of the setting, or of the context; a folder of this process on a local master without either."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="cardpulse-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> str:
+    """Limit the session's Arrow batches to ``size`` bytes, unless they are smaller; the setting before. Operators that run jobs do so for
+    their time (see Workspace); an application does it for those whose result it runs itself."""
+    before = str(spark.conf.get(_BATCH_SETTING))
+    if int(before.rstrip("b")) > size:
+        spark.conf.set(_BATCH_SETTING, size)
+    return before
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` whose workers can import this package wherever they run: its source goes along once per
     application, as ``--py-files`` would send it."""
     spark = df.sparkSession
-    if int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_cardpulse_sent", None) is None:
         package = Path(__file__).resolve().parents[1]
@@ -87,11 +103,19 @@ def _released(function: Callable) -> Callable:
 
 
 class Workspace:
-    """Written tables of one run of an operator, each dropped as soon as the operator is done with it."""
+    """Written tables of one run of an operator, each dropped as soon as the operator is done with it, all of them at the end of its ``with``
+    block, also after an error. Arrow batches are bounded for as long."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.kept: list[DataFrame] = []
+        self.before = bound_batches(spark)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: the plan above starts at files that outlive any executor."""
@@ -103,8 +127,8 @@ class Workspace:
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """A small intermediate result that several steps read, or that stands beside a join: cached, not written. A lost executor's
-        part is computed again from the written tables below it."""
+        """An intermediate result that two steps read right after one another: cached in memory and on disk, not written. A lost executor's part is
+        computed again from the written tables below it."""
         self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return self.kept[-1]
 
@@ -114,22 +138,29 @@ class Workspace:
             path = getattr(t, "_cardpulse_path", None)
             if any(t is k for k in self.kept):
                 self.kept = [k for k in self.kept if k is not t]
-                t.unpersist()
+                t.unpersist(blocking=True)
             elif path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.tidy()
+                self._delete(path)
 
-    def tidy(self) -> None:
-        """Let Spark's cleaner see which shuffles are done with, so that their files go now and not at some later collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def close(self) -> None:
-        """Delete and forget whatever is left."""
+        """Delete and forget whatever is left, and let Spark's cleaner see that its shuffles are done with, so that their files go now and not
+        at some later collection."""
         self.drop(*self.kept)
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._delete(self.root)
+        self.spark.conf.set(_BATCH_SETTING, self.before)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def dealt(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` with all rows of a key in one partition. Adaptive execution sizes the partitions; where ``size`` bytes would make more than the
+    session's number of partitions, there is one for each PART_BYTES."""
+    n = -(-size // PART_BYTES)
+    return df.repartition(int(n), key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -274,16 +274,49 @@ def path():
 def test_encoder_gives_the_tokenizers_ids(path, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 1 << 8)  # forgets in between
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     own, rng = packing.WordEncoder(path, 1), random.Random(3)
-    alphabet = [*"abcXYZ'’éÉßñ0123.,!?-_&%$ \t\n\r\x0b\x0c\x00\x1c\x85\xa0…—ʼ́İΣσς日한🙂①½", "'s", "don't", "<|endoftext|>", "ﬁ", "Å"]
+    alphabet = [*"abcXYZ'’éÉßñ0123.,!?-_&%$ \t\n\r\x0b\x0c\x00\x1c\x85\xa0…—ʼ́İΣσς日한🙂①½", "'s", "don't", "<|endoftext|>", "<|STARTOFTEXT|>", " <|startoftext|> ", "<|", "|>", "ﬁ", "Å"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ".join(map(str, range(700)))]
     got = []
-    for a, b, w in textkit.each_words(pa.array(texts, pa.string()), "space", True):
-        ids, border = own(w, b - a)
+    for _, _, ids, border in own.column(pa.array(texts, pa.string())):
         got += [ids[x:y].tolist() for x, y in zip(border[:-1], border[1:], strict=True)]
     assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
-
+    plain = [t for t in texts if t and not any(c in t.lower() for c in own.added)]
+    assert 500 < len(plain) < len(texts) - 500  # both ways are taken
+
+
+def test_plan_of_targets():
+    knots, end = packing.plan_of({"a": 800, "b": 200, "c": 50}, {"a": 1.0, "b": 1.0, "none": 3.0})
+    assert knots == {"a": [(0.0, 0.0), (400.0, 200.0), (1000.0, 800.0)], "b": [(0.0, 0.0), (400.0, 200.0)]}
+    assert end == 1000.0
+    assert packing.plan_of({}, {"a": 1.0}) == ({}, 0.0)
+
+
+def test_targets_that_differ_from_the_corpus(spark, path, monkeypatch):
+    """Two sources of four to one and one without target, asked for half and half: they are mixed so until the small one is dry."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 13)
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(("alpha", "beta")) for _ in range(rng.randint(20, 60))), "c" if k % 20 == 0 else "b" if k % 5 == 1 else "a") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(df, path, 256, targets={"a": 0.5, "b": 0.5}).collect()
+    of = {s: sum(r["length"] for r in out if r["source"] == s) for s in "abc"}
+    total = sum(of.values())
+    begins, at = {}, 0
+    for q in sorted({r["sequence_id"] for r in out}):
+        begins[q], at = at, at + sum(r["length"] for r in out if r["sequence_id"] == q)
+    assert at == total
+    phases = {"even": lambda x: x < 1.6 * of["b"], "a alone": lambda x: 2.4 * of["b"] < x < 0.9 * (of["a"] + of["b"]), "rest": lambda x: x > 1.02 * (of["a"] + of["b"])}
+    got = {}
+    for name, within in phases.items():
+        own = [r for r in out if within(begins[r["sequence_id"]])]
+        got[name] = {s: sum(r["length"] for r in own if r["source"] == s) / max(sum(r["length"] for r in own), 1) for s in "abc"}
+    assert got["even"]["a"] == pytest.approx(0.5, abs=0.05)
+    assert got["even"]["b"] == pytest.approx(0.5, abs=0.05)
+    assert got["a alone"]["a"] > 0.9
+    assert got["rest"]["c"] > 0.8
+    assert {r["doc_id"] for r in out} == set(range(3000))
+    with pytest.raises(ValueError, match="target"):
+        packing.pack(df, path, targets={"a": -1.0})
 
 def test_pack_shard_places_every_token_once():
     rng = random.Random(0)
