@@ -4,11 +4,17 @@ Every step over the texts is a DataFrame function. Base kinds are found by their
 entered once only (linear time also on long runs), and checked. High-recall generators then propose further, overlapping
 spans; boosted trees over their format and context, compiled to CASE expressions, score them; per generator a threshold
 calibrated on held-out labelled candidates selects. Positions are code points: the lengths between matches, summed up.
+
+The work on a text is linear in its length and in the number of its matches, but for one sort: running sums are taken in chunks, the context of a
+candidate is cut from the piece of text beside it, and overlaps are found by looking back from each span at the latest one of every kind, as
+spans of a kind do not overlap.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,16 +39,71 @@ GENERATORS = {
 #: Code points of context on either side of a candidate.
 CONTEXT = 24
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_SPAN = "array<struct<start:int,end:int,txt:string>>"
+#: Code points of a block of text that is cut by position, and values of a chunk of a running sum.
+BLOCK, CHUNK = 4096, 128
+_SPAN = "array<struct<start:int,end:int,txt:string,before:string,after:string>>"
+
+
+_numbers = itertools.count()
+
+
+def _lambda(body: Callable[..., str], n: int) -> str:
+    """A SQL lambda of ``n`` variables, with names of its own."""
+    names = [f"v{next(_numbers)}" for _ in range(n)]
+    return f"({', '.join(names)}) -> {body(*names)}" if n > 1 else f"{names[0]} -> {body(*names)}"
+
+
+def _each(values: str, body: Callable[..., str], n: int = 1) -> str:
+    return f"transform({values}, {_lambda(body, n)})"
+
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a value that is computed once, however often the body, or a lambda in it, reads it."""
+    return f"get({_each(f'array({value})', body)}, 0)"
+
+
+Step = Callable[[str, str], str]
+
+
+def _add(a: str, b: str) -> str:
+    return f"({a} + {b})"
 
 
-def _located(matches: str, pieces: str) -> Column:
-    """Spans of the matches whose surrounding pieces are given: positions are running sums of code points."""
-    return F.expr(f"""aggregate(
-        zip_with({matches}, slice({pieces}, 1, size({matches})), (x, y) -> named_struct('txt', x, 'gap', length(y), 'len', length(x))),
-        named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-        (a, z) -> named_struct('at', a.at + z.gap + z.len, 'out', concat(a.out, array(named_struct('start', a.at + z.gap, 'end', a.at + z.gap + z.len, 'txt', z.txt)))),
-        a -> a.out)""")
+def _most(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _fold(values: str, begin: str, step: Step) -> str:
+    """What there is before each value of a short array: ``begin``, and what ``step`` makes of it and the values so far."""
+    more = _lambda(lambda a, x: f"struct({step(f'{a}.at', x)} AS at, concat({a}.out, array({a}.at)) AS out)", 2)
+    return f"aggregate({values}, struct({begin} AS at, cast(array() AS array<int>) AS out), {more}, {_lambda(lambda a: f'{a}.out', 1)})"
+
+
+def _running(values: str, step: Step) -> str:
+    """``_fold`` from 0 over an array of any length by an associative ``step``: over chunks, then within each."""
+
+    def made(v: str) -> str:
+        chunks = _each(f"sequence(0, int((size({v}) - 1) / {CHUNK}))", lambda k: f"slice({v}, {k} * {CHUNK} + 1, {CHUNK})")
+        totals = lambda c: _each(c, lambda own: f"aggregate({own}, 0, {_lambda(step, 2)})")
+        return _let(chunks, lambda c: f"flatten(zip_with({c}, {_fold(totals(c), '0', step)}, {_lambda(lambda own, begin: _fold(own, begin, step), 2)}))")
+
+    return _let(values, lambda v: f"CASE WHEN size({v}) > {CHUNK} THEN {made(v)} ELSE {_fold(v, '0', step)} END")
+
+
+def _located(matches: str, pieces: str) -> str:
+    """Spans of the matches whose surrounding pieces are given, with up to CONTEXT code points before and after each (as far as the match beside it)."""
+
+    def spans(m: str, p: str, at: str) -> str:
+        def made(x: str, i: str) -> str:
+            start = f"get({at}, {i}) + length(get({p}, {i}))"
+            before = f"right(concat(coalesce(get({m}, {i} - 1), ''), get({p}, {i})), {CONTEXT})"
+            after = f"left(concat(get({p}, {i} + 1), coalesce(get({m}, {i} + 1), '')), {CONTEXT})"
+            return f"struct({start} AS start, {start} + length({x}) AS end, {x} AS txt, {before} AS before, {after} AS after)"
+
+        return _each(m, made, 2)
+
+    sizes = lambda m, p: _each(m, lambda x, i: f"length(get({p}, {i})) + length({x})", 2)
+    return _let(matches, lambda m: _let(pieces, lambda p: _let(_running(sizes(m, p), _add), lambda at: spans(m, p, at))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -83,7 +144,7 @@ def _find(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
     df = df.withColumns({f"{k}_m": all_of(k) for k in patterns})
     df = df.withColumns({f"{k}_p": F.when(F.size(f"{k}_m") > 0, F.split("text", patterns[k], -1)).otherwise(none) for k in patterns})
     empty = F.lit(None).cast(_SPAN)
-    df = df.withColumns({names[k]: F.coalesce(F.when(F.size(f"{k}_m") > 0, _located(f"{k}_m", f"{k}_p")).otherwise(empty), F.array().cast(_SPAN)) for k in patterns})
+    df = df.withColumns({names[k]: F.coalesce(F.when(F.size(f"{k}_m") > 0, F.expr(_located(f"{k}_m", f"{k}_p"))).otherwise(empty), F.array().cast(_SPAN)) for k in patterns})
     return df.drop(*[f"{k}_{x}" for k in patterns for x in "mp"])
 
 
@@ -230,16 +291,13 @@ def predict(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compiled(trees: list[Tree], c: Column) -> Column:
-    """The trees' sum as one expression over a struct of FEATURES."""
+def _compiled(trees: list[Tree], c: str) -> str:
+    """The trees' sum as one SQL expression over a struct of FEATURES."""
 
-    def node(t: Tree) -> Column:
-        return F.lit(t) if isinstance(t, float) else F.when(c[FEATURES[t[0]]] <= t[1], node(t[2])).otherwise(node(t[3]))
+    def node(t: Tree) -> str:
+        return f"{t}D" if isinstance(t, float) else f"CASE WHEN {c}.{FEATURES[t[0]]} <= {t[1]}D THEN {node(t[2])} ELSE {node(t[3])} END"
 
-    total = F.lit(0.0)
-    for t in trees:
-        total = total + node(t)
-    return total
+    return " + ".join(["0D", *map(node, trees)])
 
 
 Model = tuple[list[Tree], list[float]]
@@ -265,11 +323,70 @@ def fit_candidates(spark: SparkSession, rows: list[tuple[int, str, str, str, int
     return trees, thresholds
 
 
+def _by_start(spans: str, other: str | None = None) -> str:
+    """(start, end, kind, id, score) of numbered spans, by start; with spans (kind -1) of another array among them."""
+    many = _each(spans, lambda c, i: f"struct({c}.start AS start, {c}.end AS end, {c}.generator AS kind, {i} AS id, {c}.score AS score)", 2)
+    if other is not None:
+        many = f"concat({many}, {_each(other, lambda b: f'struct({b}.start AS start, {b}.end AS end, -1 AS kind, -1 AS id, 0D AS score)')})"
+    return f"array_sort({many})"
+
+
+def _met(spans: str, places: list[str], s: str, i: str) -> str:
+    """Of the spans at the i-th entries (from 1) of ``places``, those that reach into ``s``."""
+    before = _each(f"array({', '.join(f'get({p}, {i})' for p in places)})", lambda j: f"get({spans}, {j} - 1)")
+    return f"filter({before}, {_lambda(lambda o: f'{o} IS NOT NULL AND {o}.end > {s}.start AND {o}.kind <> {s}.kind', 1)})"
+
+
+def _with_latest(spans: str, body: Callable[[str, list[str]], str]) -> str:
+    """``body`` of spans and, for every generator, the place (from 1; 0 without any) of its latest span before each span."""
+
+    def bind(s: str, rest: list[int], done: list[str]) -> str:
+        if not rest:
+            return body(s, done)
+        latest = _running(_each(s, lambda x, i: f"CASE WHEN {x}.kind = {rest[0]} THEN {i} + 1 ELSE 0 END", 2), _most)
+        return _let(latest, lambda p: bind(s, rest[1:], [*done, p]))
+
+    return _let(spans, lambda s: bind(s, list(_PLACE.values()), []))
+
+
+def _without(items: str, lost: str) -> str:
+    """The items whose places (from 0) are not among the lost ones."""
+    return _each(f"array_except(sequence(0, size({items}) - 1), {lost})", lambda i: f"get({items}, {i})")
+
+
+def _clear_of(candidates: str, base: str) -> str:
+    """The candidates that overlap no base span. Of two spans that overlap, that which begins later meets the other as the latest, or longest, before it."""
+
+    def lost(spans: str, places: list[str]) -> str:
+        ends = _running(_each(spans, lambda s: f"CASE WHEN {s}.kind < 0 THEN {s}.end ELSE 0 END"), _most)
+
+        def each(reach: str) -> str:
+            ids = lambda s, i: _each(_met(spans, places, s, i), lambda o: f"{o}.id")
+            return _each(spans, lambda s, i: f"CASE WHEN {s}.kind < 0 THEN {ids(s, i)} WHEN get({reach}, {i}) > {s}.start THEN array({s}.id) ELSE cast(array() AS array<int>) END", 2)
+
+        return f"flatten({_let(ends, each)})"
+
+    return f"CASE WHEN size({candidates}) > 0 AND size({base}) > 0 THEN {_without(candidates, _with_latest(_by_start(candidates, base), lost))} ELSE {candidates} END"
+
+
+def _unbeaten(candidates: str) -> str:
+    """The candidates that overlap no better one: of higher score or, of equals, earlier by (start, kind)."""
+    names = f"array({', '.join(repr(k) for k in _PLACE)})"
+    tied = lambda o, s: f"{o}.score = {s}.score AND struct({o}.start, get({names}, {o}.kind)) < struct({s}.start, get({names}, {s}.kind))"
+
+    def lost(spans: str, places: list[str]) -> str:
+        loser = lambda s: lambda o: f"CASE WHEN {o}.score > {s}.score OR ({tied(o, s)}) THEN {s}.id ELSE {o}.id END"
+        return f"flatten({_each(spans, lambda s, i: _each(_met(spans, places, s, i), loser(s)), 2)})"
+
+    return f"CASE WHEN size({candidates}) > 1 THEN {_without(candidates, _with_latest(_by_start(candidates), lost))} ELSE {candidates} END"
+
+
 def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Personal data of each text: ``doc_id``, ``text`` (null: empty), the columns ``keep`` and ``found``, spans (kind, start, end) in code points: base kinds first as listed in
     BASE, then the generators' kinds, each by start; ``n_base`` of them are base spans. A base span always stays; a generated
     one counts if its score reaches its threshold and it overlaps no base span and no better generated one.
-    One row for each row of ``docs``; ids may be null or repeat; other columns are ignored.
+    One row for each row of ``docs``; ids may be null or repeat; other columns are ignored; an empty table gives an empty result. A very long
+    text is one row's work, linear in its length and matches.
     """
     trees, thresholds = model or fit_candidates(docs.sparkSession)
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
@@ -282,28 +399,20 @@ def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     def valid(kind: str):
         return lambda s: _valid(kind, s["txt"])
 
-    checked = [named(k, F.filter(f"{k}_found", valid(k))) for k in BASE]
-    df = df.withColumn("base", F.concat(*checked))
+    df = df.withColumn("base", F.concat(*(named(k, F.filter(f"{k}_found", valid(k))) for k in BASE)))
 
     def candidate(kind: str):
-        def made(s: Column) -> Column:
-            begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            return F.struct(F.lit(_PLACE[kind]).alias("generator"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["txt"].alias("txt"), F.substr(F.col("text"), begin + 1, s["start"] - begin).alias("before"), F.substr(F.col("text"), s["end"] + 1, F.lit(CONTEXT)).alias("after"))
-
-        return made
+        return lambda s: F.struct(F.lit(_PLACE[kind]).alias("generator"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["txt"].alias("txt"), s["before"].alias("before"), s["after"].alias("after"), F.lit(0.0).alias("score"))
 
-    clear = F.filter(F.concat(*(F.transform(f"{k}_found", candidate(k)) for k in GENERATORS)), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    df = df.withColumn("candidates", clear)
+    proposed = F.concat(*(F.transform(f"{k}_found", candidate(k)) for k in GENERATORS))
+    df = df.withColumn("proposed", proposed)
+    df = df.withColumn("candidates", F.expr(_let("proposed", lambda c: _let("base", lambda b: _clear_of(c, b)))))
     described = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *(f.alias(n) for n, f in _features(c).items())))
     df = df.withColumn("described", described)
-    limit = F.array(*(F.lit(t) for t in thresholds))
-    scored = F.transform("described", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _compiled(trees, c).alias("score"), F.get(limit, c["generator"]).alias("least")))
-    df = df.withColumn("scored", F.filter(scored, lambda c: c["score"] >= c["least"]))
-
-    def beaten(c: Column) -> Column:
-        return F.exists("scored", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["score"] > c["score"]) | ((o["score"] == c["score"]) & (F.struct(o["start"], o["kind"]) < F.struct(c["start"], c["kind"])))))
-
-    more = F.transform(F.filter("scored", lambda c: ~beaten(c)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(span)
+    limits = f"array({', '.join(f'double({str(t)!r})' for t in thresholds)})"
+    scored = _each("described", lambda c: f"struct({c}.kind AS kind, {c}.generator AS generator, {c}.start AS start, {c}.end AS end, {_compiled(trees, c)} AS score)")
+    df = df.withColumn("scored", F.expr(f"filter({scored}, {_lambda(lambda c: f'{c}.score >= get({limits}, {c}.generator)', 1)})"))
+    more = F.transform(F.expr(_let("scored", _unbeaten)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(span)
     return df.select("doc_id", "text", *(F.col(f"kept_{c}").alias(c) for c in keep), F.concat("base", more).alias("found"), F.size("base").alias("n_base"))
 
 
@@ -323,16 +432,24 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets; of spans that overlap, the earliest names the gap."""
-    state = "struct<at:int,out:array<string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def redacted(text: str, spans: str) -> Column:
+    """The column ``text`` with each of ``spans`` replaced by its kind in angle brackets; of spans that overlap, the earliest names the gap. The text is
+    cut into blocks first, so that a piece between two spans is cut from a short string."""
+
+    def piece(blocks: str, a: str, b: str) -> str:
+        def cut(first: str, last: str) -> str:
+            of = lambda k: f"coalesce(get({blocks}, {k}), '')"
+            across = f"concat(substr({of(first)}, {a} % {BLOCK} + 1), array_join(slice({blocks}, {first} + 2, greatest({last} - {first} - 1, 0)), ''), substr({of(last)}, 1, {b} % {BLOCK}))"
+            return f"CASE WHEN {first} = {last} THEN substr({of(first)}, {a} % {BLOCK} + 1, {b} - {a}) ELSE {across} END"
+
+        return cut(f"int({a} / {BLOCK})", f"int({b} / {BLOCK})")
 
-    def cut(a: Column, s: Column) -> Column:
-        inside = s["start"] < a["at"]
-        own = F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], own)).alias("out")).cast(state)
+    def whole(s: str, blocks: str, done: str) -> str:
+        named = _each(s, lambda x, i: f"CASE WHEN {x}.start < get({done}, {i}) THEN '' ELSE concat({piece(blocks, f'get({done}, {i})', f'{x}.start')}, '<', upper({x}.kind), '>') END", 2)
+        end = f"array_max({_each(s, lambda x: f'{x}.end')})"
+        return _let(end, lambda e: f"concat(array_join({named}, ''), {piece(blocks, e, f'greatest({e}, length({text}))')})")
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.aggregate(ordered, start.cast(state), cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text) + 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ordered = f"array_sort({_each(spans, lambda x: f'struct({x}.start AS start, {x}.end AS end, {x}.kind AS kind)')})"
+    blocks = f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+    made = _let(ordered, lambda s: _let(blocks, lambda b: _let(_running(_each(s, lambda x: f"{x}.end"), _most), lambda d: whole(s, b, d))))
+    return F.expr(f"CASE WHEN size({spans}) > 0 THEN {made} ELSE {text} END")
