@@ -54,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind; n_chars follows."""
-    clean = find_pii(docs, keep=("lang", "source")).withColumn("text", redacted(F.col("text"), F.col("found")))
+    clean = find_pii(docs, keep=("lang", "source")).withColumn("text", redacted("text", "found"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
