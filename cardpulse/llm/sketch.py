@@ -2,7 +2,8 @@
 
 A task sends, for each block of counters that it touched, the 16-bit places of the counters it met once and of those it met
 more often. Blocks are summed in a distributed pass, and one bit per counter (has it reached two?) returns to the scans: a bitmap
-of a size bounded by ``MOST``. Estimates never fall short, so a key that occurs twice always passes ``repeated``.
+of a size bounded by ``MOST``. Estimates never fall short, so a key that occurs twice always passes ``repeated``. Beyond that size the bitmap
+lets more keys through; users count those exactly, by a shuffle of keys.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit as tk
-from .store import map_arrow
+from .store import dealt, map_arrow
 
 #: Counters of a sketch row, at least and at most; rows of a sketch.
 LEAST, MOST, ROWS = 1 << 18, 1 << 27, 2
@@ -88,12 +89,11 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def repeated_bitmap(blocks: DataFrame, width: int) -> bytes:
-    """One bit per counter of the merged sketch: has it reached two? At most ROWS * MOST bits."""
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.select("block", "ones", "twos").repartition(n, "block").sortWithinPartitions("block")
+def repeated_bitmap(blocks: DataFrame, width: int, volume: int) -> bytes:
+    """One bit per counter of the merged sketch of ``volume`` bytes of data: has it reached two? At most ROWS * MOST bits."""
+    own = dealt(blocks.select("block", "ones", "twos"), "block", volume // 8).sortWithinPartitions("block")
     bitmap = np.zeros(ROWS * width // 8, dtype=np.uint8)
-    for block, part in map_arrow(dealt, _sum_blocks, "block int, bitmap binary").collect():
+    for block, part in map_arrow(own, _sum_blocks, "block int, bitmap binary").collect():
         bitmap[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(part, np.uint8)
     return bitmap.tobytes()
 

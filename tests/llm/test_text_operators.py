@@ -173,6 +173,33 @@ def test_substrings_without_known_copies(spark, monkeypatch):
     assert sorted(map(tuple, remove_repeats(frame(spark, rows), 20).collect()), key=str) == sorted(removed(rows, 20), key=str)
 
 
+def test_prefilter_at_great_sizes(spark, monkeypatch):
+    """A sketch that is full, as far beyond 30 GB, lets all keys through, but next to no window that is not repeated; the result is the same."""
+    from cardpulse.llm import substrings
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.getrandbits(30)}" for _ in range(80))
+    rows = [(k, " ".join(f"x{rng.getrandbits(30)}" for _ in range(400)) + (" " + passage if k % 10 == 0 else "")) for k in range(200)]
+    passed, table = {}, substrings.Workspace.table
+
+    def seen(ws, df):
+        out = table(ws, df)
+        if out.columns == ["doc_id", "text_hash", "key"]:
+            passed["keys"] = out.count()
+        if out.columns == ["uid", "doc_id", "windows"]:
+            passed["windows"] = out.select(F.sum(F.size("windows"))).first()[0]
+        return out
+
+    monkeypatch.setattr(substrings.Workspace, "table", seen)
+    monkeypatch.setattr(sketch, "repeated_bitmap", lambda blocks, width, volume: b"\xff" * (sketch.ROWS * width // 8))
+    got = remove_repeats(frame(spark, rows), 50)
+    assert sorted(map(tuple, got.collect())) == sorted(removed(rows, 50))
+    all_windows = sum(len(t.split()) - 49 for _, t in rows)
+    repeated = 20 * 31
+    assert passed["keys"] > all_windows / 20  # the sketch alone filters nothing
+    assert passed["windows"] - repeated < 0.05 * (all_windows - repeated)
+
+
 ITEMS = [(1, "w1 w2 w3"), (10, None), (2, ""), (None, "w5 w6 w7"), (3, "W9, w8. w7"), (10, "w1 W2")]
 
 
