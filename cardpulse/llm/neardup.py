@@ -5,7 +5,10 @@ evaluations give 128 values; 32 bands of four values propose candidates, exact J
 sets confirms them, and distributed connected components name the classes.
 
 Scale: a document's set never travels unless some other document shares a band with it. Exact copies meet in one
-pre-aggregated group. Candidates are compared inside bounded blocks (no pair rows): a large group is dealt into blocks
+pre-aggregated group. Documents that share bands, directly or over others, are a group. A group that is too large for one comparison,
+as of pages from one template, is first taken apart without loss: two sets that link share one of the first
+few shingles of each in any common order, and in an order that puts shingles which are frequent in the group last, unlike
+documents share none. Candidates are compared inside bounded blocks (no pair rows): a group that is still large is dealt into blocks
 by exact similarity to its pivot, and the triangle inequality of Jaccard distance rules out block pairs; documents
 already linked to the pivot are not compared with one another. A block pair emits a spanning forest of its links.
 """
@@ -13,6 +16,7 @@ already linked to the pivot are not compared with one another. A block pair emit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from . import textkit as tk
-from .store import Workspace, components, durable, filter_slots, id_filter, in_filter, map_arrow, plan_bytes
+from .store import Workspace, components, dealt, durable, filter_bits, filter_slots, id_filter, in_filter, map_arrow, plan_bytes
 
 #: Permutations (two values each) and bands of four values. At similarity 0.85 a pair shares no band with
 #: probability 6e-11, at 0.8 5e-8.
@@ -31,8 +35,9 @@ BANDS = PERMUTATIONS // 2
 BLOCK = 128
 #: Standard errors of the 128-value estimate by which a pair may fall short and still be confirmed on full sets.
 SLACK = 6.0
-#: Bits of the filter of candidate ids that a scan is given; fuller only means that more rows reach the exact join.
-FILTER_BITS = 1 << 23
+#: Documents of a large group (by hash, about so many) that tell which shingles are frequent in it, and in how many of them those stand. The
+#: sample orders shingles and decides nothing: any order gives the same links.
+ORDERED_BY, FREQUENT = 64, 3
 #: Candidate documents whose places (32 bytes each) are still broadcast to their sets; more are joined by shuffle.
 SENT_PLACES = 1 << 19
 #: Band keys expected for each byte of input.
@@ -118,16 +123,49 @@ def _first_scan(size: int, width: int):
 
 
 def _met_bands(sketched):
-    """(doc_id, f1, f2, n_shingles, bands) -> a row for each band key that another document may have, too."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "f1", "f2", "n_shingles", "band")])
+    """(doc_id, bands) -> a row for each band key that another document may have, too."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sketched.value, np.uint8)
         for batch in batches:
-            keys = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            keys = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(sketch.repeated(bitmap, keys.view(np.uint64)))
-            row = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy(zero_copy_only=False))[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(4)), pa.array(keys[at])], schema=schema)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(keys[at])], schema=schema)
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, members) -> a row for each shingle."""
+    schema = pa.schema([("gid", pa.int64()), ("token", pa.int64())])
+    for batch in batches:
+        sets = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column(1)]
+        row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], schema=schema)
+
+
+def prefix(members: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order (frequent, hash), as many as are not needed for a link: two sets that link share ``percent`` of either
+    set's size at least, so that the rest of one cannot hold all they share, and the first shared shingle stands among the first of both."""
+    least = -(-percent * len(members) // 100)
+    common = np.isin(members, frequent)
+    return np.concatenate((members[~common], members[common]))[: len(members) - least + 1]
+
+
+def _prefixes(percent: int):
+    """(doc_id, gid, members, frequent) -> a row (doc_id, key) for each shingle of the set's prefix; keys of different groups differ."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for gid, members, frequent in zip(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), batch.column(3), strict=True):
+                often = frequent.values.to_numpy(zero_copy_only=False).view(np.uint64) if frequent.is_valid else np.zeros(0, np.uint64)
+                keys.append(tk.salted(prefix(np.frombuffer(members.as_buffer(), np.uint64), often, percent), int(gid) & ((1 << 62) - 1)).view(np.int64))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))], schema=schema)
 
     return run
 
@@ -254,62 +292,54 @@ def _blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of near-duplicate texts: one row for each row of ``docs`` with ``doc_id``, ``n_shingles`` (distinct shingles of
-    ``words`` lower-cased words), ``component_id`` (smallest id reachable over links) and ``kept`` (doc_id = component_id).
-
-    Two documents link if 100 * |A ∩ B| >= percent * |A ∪ B| on their full shingle sets. Null or empty texts have no
-    shingles and link with nothing; a text of fewer than ``words`` words has one shingle. Rows that share an id
-    are one document: they are in one class, and each of their texts can link. A null id links with nothing: its
-    component_id is null and it is kept. Other columns of ``docs`` are ignored. An empty table gives an empty result.
-    """
-    spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "neardup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    width = sketch.width_for(plan_bytes(docs) * KEYS_PER_BYTE)
-    first = ws.table(map_arrow(source, _first_scan(words, width), _FIRST))
-    sketched = spark.sparkContext.broadcast(sketch.repeated_bitmap(first.where("block IS NOT NULL"), width))
-    scanned = first.where("block IS NULL")
-    some = scanned.where("n_shingles > 0 AND doc_id IS NOT NULL")
-
-    # exact copies: one representative for each distinct set
-    copies = ws.keep(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last"))
-    one = ["f1", "f2", "n_shingles"]
-
-    # bands that two representatives share, each with its smallest document as a star's centre
-    bands = map_arrow(some.select("doc_id", *one, "bands"), _met_bands(sketched), "doc_id long, f1 long, f2 long, n_shingles long, band long")
-    banded = ws.table(bands.join(copies.select(*one, "rep"), one, "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "band"))
-    centre = ws.keep(banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("centre < last").drop("last"))
-    met = ws.table(banded.join(centre, "band").groupBy("centre", "doc_id").agg(F.sum("m").alias("m")))
+def _grouped(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, key) -> (doc_id, gid, size, pivot) of the documents that share a key with another one: groups are connected over
+    keys, each a star around its smallest document; a group's pivot shares most keys with such centres."""
+    rows = ws.table(rows)
+    centre = ws.table(rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre"))
+    met = ws.table(rows.join(centre, "key").groupBy("centre", "doc_id").agg(F.count("*").alias("m")))
     groups = ws.table(components(ws, met.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))))
-    ws.drop(centre, banded)
+    ws.drop(centre, rows)
     degree = met.groupBy("doc_id").agg(F.sum("m").alias("m"))
     ranked = groups.join(degree, F.col("node") == F.col("doc_id"), "left")
-    pivots = ws.keep(ranked.groupBy(F.col("component").alias("gid")).agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), (-F.col("node")).alias("x"))).alias("top")).select("gid", "size", (-F.col("top.x")).alias("pivot")))
+    top = F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), (-F.col("node")).alias("x"))).alias("top")
+    pivots = ranked.groupBy(F.col("component").alias("gid")).agg(F.count("*").alias("size"), top).select("gid", "size", (-F.col("top.x")).alias("pivot"))
     place = ws.table(groups.join(pivots, F.col("component") == F.col("gid")).select(F.col("node").alias("doc_id"), "gid", "size", "pivot"))
-    ws.drop(met)
-
-    # full sets of the documents that met another one; the filter spares the rest the second hashing
-    wanted = spark.sparkContext.broadcast(id_filter(place.select(F.col("doc_id").alias("id")), FILTER_BITS))
-    asked = source.where("doc_id IS NOT NULL").withColumn("slots", filter_slots(F.col("doc_id"), FILTER_BITS))
-    sets = map_arrow(asked, _second_scan(words, wanted), "doc_id long, f1 long, f2 long, n long, members binary, signature binary")
-    small = place.count() <= SENT_PLACES
-    keyed = ws.table(sets.join(F.broadcast(place) if small else place, "doc_id").select("doc_id", "gid", "size", "pivot", "members", "signature"))
-
-    # large groups: exact similarity to the pivot places a document in a bin
-    big = keyed.where(F.col("size") > BLOCK)
-    centre_sets = ws.keep(big.where("doc_id = pivot").groupBy("gid").agg(F.max("members").alias("pivot_members")))
+    ws.drop(met, groups)
+    return place
+
+
+def _sent(place: DataFrame) -> tuple[DataFrame, int]:
+    """Places, marked to be broadcast if they are few, and their number."""
+    n = place.count()
+    return (F.broadcast(place) if n <= SENT_PLACES else place), n
+
+
+def _apart(ws: Workspace, keyed: DataFrame, percent: int) -> DataFrame:
+    """``keyed`` documents of large groups in smaller ones that hold every link: connected over the shingles of their prefixes."""
+    some = keyed.where(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / ORDERED_BY).cast("long")) == 0)
+    often = map_arrow(some.select("gid", "members"), _tokens, "gid long, token long").groupBy("gid", "token").count().where(F.col("count") >= FREQUENT)
+    often = ws.table(often.groupBy("gid").agg(F.collect_list("token").alias("frequent")))
+    asked = keyed.join(often, "gid", "left").select("doc_id", "gid", "members", "frequent")
+    place = _grouped(ws, map_arrow(asked, _prefixes(percent), "doc_id long, key long"))
+    return keyed.drop("gid", "size", "pivot").join(_sent(place)[0], "doc_id").select(*keyed.columns)
+
+
+def _across(ws: Workspace, big: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of block pairs, links to pivots) of groups larger than a block."""
+    # exact similarity to the pivot places a document in a bin
+    centre_sets = ws.table(big.where("doc_id = pivot").groupBy("gid").agg(F.max("members").alias("pivot_members")))
     placed = ws.table(map_arrow(big.join(centre_sets, "gid").select("doc_id", "gid", "pivot", "members", "signature", "pivot_members"), _to_pivot, "doc_id long, gid long, pivot long, members binary, signature binary, both long, total long"))
     link = F.col("both") * 100 >= F.col("total") * percent
     far = F.least(F.lit(19), (F.lit(20) * (F.col("total") - F.col("both")) / F.col("total")).cast("int"))
     # documents known to be linked are dealt by distance too, but in blocks of their own
     binned = placed.select("doc_id", "gid", "members", "signature", link.alias("known"), F.when(link, far).otherwise(far + 100).alias("bin"))
-    parts = ws.keep(binned.groupBy("gid", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")))
+    parts = ws.table(binned.groupBy("gid", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")))
     cells = parts.select("gid", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = cells.select("gid", F.col("bin").alias("bin1"), F.col("part").alias("part1"))
     right = cells.select("gid", F.col("bin").alias("bin2"), F.col("part").alias("part2"))
     near = F.abs(F.col("bin1") % 100 - F.col("bin2") % 100) * 5 <= 100 - percent + 5
-    duty = ws.keep(
+    duty = ws.table(
         left.join(right, "gid")
         .where(near & (F.struct("bin1", "part1") <= F.struct("bin2", "part2")) & ~((F.col("bin1") < 100) & (F.col("bin2") < 100)))
         .select("gid", "bin1", "part1", "bin2", "part2", F.concat_ws(":", "gid", "bin1", "part1", "bin2", "part2").alias("key"))
@@ -317,20 +347,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sides = duty.select("gid", F.col("bin1").alias("bin"), F.col("part1").alias("part"), "key", F.lit(0).alias("side")).union(
         duty.where("bin1 <> bin2 OR part1 <> part2").select("gid", "bin2", "part2", "key", F.lit(1))
     )
-    dealt = binned.join(parts, ["gid", "bin"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int"))
-    rows = keyed.where(F.col("size") <= BLOCK).select(F.concat_ws(":", F.col("gid")).alias("key"), "doc_id", F.lit(False).alias("known"), F.lit(0).alias("side"), "members", "signature").union(
-        dealt.join(sides, ["gid", "bin", "part"]).select("key", "doc_id", "known", "side", "members", "signature")
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = map_arrow(rows.repartition(n, "key").sortWithinPartitions("key"), _blocks(percent), "a long, b long")
-    links = ws.table(found.union(placed.where(link).select("doc_id", "pivot")))
-    classes = ws.table(components(ws, links))
-
-    same = scanned.select("doc_id", "n_shingles", "f1", "f2").join(copies.select(*one, "rep"), one, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    out = same.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = durable(spark, out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    ws.close()
-    wanted.destroy()
-    sketched.destroy()
-    return out
+    split = binned.join(parts, ["gid", "bin"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int"))
+    rows = split.join(sides, ["gid", "bin", "part"]).select("key", "doc_id", "known", "side", "members", "signature")
+    return rows, placed.where(link).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Classes of near-duplicate texts: one row for each row of ``docs`` with ``doc_id``, ``n_shingles`` (distinct shingles of
+    ``words`` lower-cased words), ``component_id`` (smallest id reachable over links) and ``kept`` (doc_id = component_id).
+
+    Two documents link if 100 * |A ∩ B| >= percent * |A ∪ B| on their full shingle sets. Null or empty texts have no
+    shingles and link with nothing; a text of fewer than ``words`` words has one shingle. Rows that share an id
+    are one document: they are in one class, and each of their texts can link. A null id links with nothing: its
+    component_id is null and it is kept. Other columns of ``docs`` are ignored. An empty table gives an empty result. A very long text is
+    hashed whole as one step, in memory of some forty times its size; its set is one value of eight bytes a shingle.
+    """
+    spark: SparkSession = docs.sparkSession
+    with Workspace(spark, "neardup") as ws:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        volume = plan_bytes(docs)
+        width = sketch.width_for(volume * KEYS_PER_BYTE)
+        first = ws.table(map_arrow(source, _first_scan(words, width), _FIRST))
+        sketched = spark.sparkContext.broadcast(sketch.repeated_bitmap(first.where("block IS NOT NULL"), width, volume))
+        scanned = first.where("block IS NULL")
+        has_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        some = scanned.where(has_set)
+
+        # exact copies: one representative for each distinct set
+        one = ["f1", "f2", "n_shingles"]
+        copies = ws.table(some.groupBy(*one).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"))
+        own = some.select("doc_id", *one, "bands").join(copies, one, "left").where("rep IS NULL OR rep = doc_id")
+        place = _grouped(ws, map_arrow(own.select("doc_id", "bands"), _met_bands(sketched), "doc_id long, key long"))
+        sketched.destroy()
+
+        # full sets of the documents that met another one; the filter spares the rest the second hashing
+        sent, n = _sent(place)
+        bits = filter_bits(n)
+        wanted = spark.sparkContext.broadcast(id_filter(place.select(F.col("doc_id").alias("id")), bits))
+        asked = source.where("doc_id IS NOT NULL").withColumn("slots", filter_slots(F.col("doc_id"), bits))
+        sets = map_arrow(asked, _second_scan(words, wanted), "doc_id long, f1 long, f2 long, n long, members binary, signature binary")
+        keyed = ws.table(sets.join(sent, "doc_id").select("doc_id", "gid", "size", "pivot", "members", "signature"))
+        wanted.destroy()
+
+        many = F.col("size") > BLOCK
+        whole = keyed.where(~many)
+        rows, links = [], []
+        if not place.where(many).isEmpty():
+            apart = ws.table(_apart(ws, keyed.where(many), percent))
+            whole = whole.union(apart.where(~many))
+            if not apart.where(many).isEmpty():
+                across, to_pivot = _across(ws, apart.where(many), percent)
+                rows.append(across)
+                links.append(to_pivot)
+        rows.append(whole.select(F.concat_ws(":", F.col("gid")).alias("key"), "doc_id", F.lit(False).alias("known"), F.lit(0).alias("side"), "members", "signature"))
+        links.append(map_arrow(dealt(reduce(DataFrame.union, rows), "key", volume).sortWithinPartitions("key"), _blocks(percent), "a long, b long"))
+        classes = ws.table(components(ws, ws.table(reduce(DataFrame.union, links))))
+
+        # rows without a set, or without an id, are in no join
+        alone = scanned.where(~has_set | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        same = some.select("doc_id", *one).join(copies, one, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+        out = same.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        return durable(spark, out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

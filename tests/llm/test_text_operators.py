@@ -108,6 +108,66 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(frame(spark, rows).where("false")).count() == 0
 
 
+def template_pages(n, seed, copies=0):
+    """Texts that share half of their words, in one place, with a template; none a duplicate but for the near copies at the end."""
+    rng = random.Random(seed)
+    common = " ".join(f"t{k}" for k in range(60))
+    own = [[f"u{rng.getrandbits(40)}" for _ in range(60)] for _ in range(n)]
+    near = [[*own[k][:-1], "edited"] for k in range(copies)]
+    return [(k, f"{common} {' '.join(w)}") for k, w in enumerate(own + near)]
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_pages_of_one_template_are_not_compared_with_one_another(spark, monkeypatch, copies):
+    """All share bands with one another; what is compared in the end grows with the duplicates, not with the square of the pages."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    compared, dealt = [], neardup.dealt
+
+    def seen(df, key, size):
+        compared.append(df.count())
+        return dealt(df, key, size)
+
+    monkeypatch.setattr(neardup, "dealt", seen)
+    rows = template_pages(600, 3, copies)
+    sets = [neardup.shingle_sets(w, 1, 3)[0] for _, t in rows[:40] for _, _, w in textkit.each_words(pa.array([t]), "space", True)]
+    keys = neardup.band_keys(neardup.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]))
+    assert (keys[:, None, :] == keys[None, :, :]).any(axis=2).mean() > 0.3  # they do meet in bands
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert out == {k: k if k < 600 else k - 600 for k in range(600 + copies)}
+    assert compared == [2 * copies]
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = random.Random(12)
+    for percent in (80, 85):
+        for _ in range(400):
+            both = [rng.getrandbits(63) for _ in range(rng.randint(1, 60))]
+            one, two = ({*both, *(rng.getrandbits(63) for _ in range(rng.randint(0, 12)))} for _ in range(2))
+            often = np.array(rng.sample(both, rng.randint(0, len(both))), dtype=np.uint64)
+            a, b = (np.array(sorted(x), dtype=np.uint64) for x in (one, two))
+            if neardup.is_link(len(one & two), len(one), len(two), percent):
+                assert set(neardup.prefix(a, often, percent).tolist()) & set(neardup.prefix(b, often, percent).tolist())
+    assert len(neardup.prefix(np.array([5], np.uint64), np.zeros(0, np.uint64), 85)) == 1
+
+
+def test_recall_at_the_threshold():
+    """Pairs that just reach 0.85 share a band, and their estimate is not below the cut: 20,000 pairs of sets of 7 to 200 shingles."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(20000):
+        union = int(rng.integers(7, 201))
+        shared = -(-85 * union // 100)
+        all_ = rng.integers(0, 1 << 63, union).astype(np.uint64)
+        half = shared + (union - shared) // 2
+        sets += [np.sort(all_[:half]), np.sort(np.concatenate((all_[:shared], all_[half:])))]
+    signature = neardup.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1])
+    keys = neardup.band_keys(signature)
+    met = (keys[0::2] == keys[1::2]).any(axis=1)
+    least = 0.85 - neardup.SLACK * np.sqrt(0.85 * 0.15 / signature.shape[1])
+    near = (signature[0::2] == signature[1::2]).mean(axis=1) >= least
+    assert (met & near).mean() >= 0.999
+
+
 def test_block_links_span_what_pairs_link():
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(60)]
