@@ -1,16 +1,18 @@
 """Benchmark decontamination on a stored, distributed positional inverted index.
 
-The training text is indexed once: a segment (about a megabyte of text) holds, for every test term, the ascending word
-positions at which it stands. Segments are document-partitioned, so a common term has a list in every segment and
-no list is a hot key, and the written index serves any number of passes. A query intersects, segment by segment, the lists of a
-test window shifted by each term's offset, from the segment's rarest term on: a window with a term that the
-segment lacks costs nothing. Exact phrases and proximity matches (each term within ``slop`` words of its place) are found alike.
+The training text is indexed once: a segment (about a quarter of a megabyte of text) holds, for every term in it, the ascending word
+positions at which it stands; terms are 64-bit hashes of words. Segments are document-partitioned, so a common term has a list in every
+segment and no list is a hot key. The written index serves any number of searches, for other benchmarks or for the parts of a large one. A
+search intersects, segment by segment, the lists of a test window shifted by each term's offset, from the segment's rarest term on: a window
+with a term that the segment lacks costs nothing. Exact phrases and proximity matches (each term within ``slop`` words of its
+place) are found alike.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .store import Workspace, durable, map_arrow
 
-#: Characters of benchmark text that one pass searches for; a larger benchmark takes several passes over the index.
-PASS_CHARS = 1 << 24
+#: Characters of benchmark text that one search takes to the segments (some 60 MB of windows); a larger benchmark is searched for in parts.
+PASS_CHARS = 1 << 22
 #: Candidates that are followed at once in a segment.
 STEP_CANDIDATES = 1 << 20
 
@@ -37,74 +39,86 @@ class Phrases:
         place = {name: k for k, name in enumerate(self.names)}
         words = tk.Words(*tk.column_bytes(pa.array(texts, pa.string())), tk.separators("ascii"), True)
         self.vocabulary, term = np.unique(words.hash, return_inverse=True)
-        rows: dict[bytes, set[int]] = {}
-        for k, name in enumerate(ids):
-            own = term[words.first[k] : words.first[k + 1]].astype(np.int32)
-            for at in range(max(len(own) - size, 0) + 1 if len(own) else 0):
-                rows.setdefault(own[at : at + size].tobytes(), set()).add(place[name])
-        self.terms = np.full((len(rows), size), -1, dtype=np.int32)
-        for k, key in enumerate(rows):
-            own = np.frombuffer(key, np.int32)
-            self.terms[k, : len(own)] = own
+        owner = np.array([place[i] for i in ids], dtype=np.int64)
+        count = np.diff(words.first)
+        windows = np.where(count > 0, np.maximum(count - size, 0) + 1, 0)
+        text = np.repeat(np.arange(len(ids)), windows)
+        begin = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + words.first[:-1][text]
+        at = begin[:, None] + np.arange(size)[None, :]
+        padded = np.append(term, -1).astype(np.int32)
+        rows = padded[np.where(at < words.first[1:][text][:, None], at, len(term))]
+        self.terms, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (np.zeros((0, size), np.int32), np.zeros(0, np.int64))
         self.length = (self.terms >= 0).sum(axis=1)
-        self.first = np.concatenate(([0], np.cumsum([len(v) for v in rows.values()]))).astype(np.int64)
-        self.item = np.array([i for v in rows.values() for i in sorted(v)], dtype=np.int64)
+        pair = np.unique(which.ravel().astype(np.int64) * max(len(self.names), 1) + owner[text])
+        self.item = pair % max(len(self.names), 1)
+        self.first = np.searchsorted(pair, np.arange(len(self.terms) + 1) * max(len(self.names), 1))
 
 
 _INDEX = "uid array<long>, doc_id array<long>, first binary, term binary, count binary, position binary"
 _index = pa.schema([("uid", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("first", "term", "count", "position")]])
-_SLOTS = 1 << 20
 
 
-def _index_scan(vocabulary):
-    """Texts -> segments: documents, the first word of each, and the posting lists of the terms that occur."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = np.frombuffer(vocabulary.value, np.uint64)
-        maybe = np.zeros(_SLOTS, dtype=bool)
-        maybe[(terms & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        small = np.uint16 if len(terms) < 1 << 16 else np.int32
-        uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for a, b, words in tk.each_words(batch.column(1), "ascii", True):
-                at = np.flatnonzero(maybe[(words.hash & np.uint64(_SLOTS - 1)).astype(np.int64)])
-                h = words.hash[at]
-                term = np.searchsorted(terms, h)
-                term[term == len(terms)] = 0
-                is_term = terms[term] == h if len(terms) else np.zeros(0, bool)
-                at, term = at[is_term], term[is_term].astype(small)
-                order = np.argsort(term, kind="stable")
-                at, term = at[order], term[order]
-                edge = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-                lists = [words.first.astype(np.int32), term[edge].astype(np.int32), np.diff(np.append(edge, len(term))).astype(np.int32), at.astype(np.int32)]
-                own = pa.array([np.arange(uid, uid + b - a)], pa.list_(pa.int64()))
-                uid += b - a
-                ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([own, ids, *(pa.array([x.tobytes()], pa.binary()) for x in lists)], schema=_index)
-
-    return scan
-
-
-def occurrences(phrases: Phrases, first: np.ndarray, term: np.ndarray, count: np.ndarray, position: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word) of every match of every window in a segment whose documents begin at the words ``first`` (and its end), by intersecting
-    offset-adjusted posting lists from the rarest term on. A match lies in one document. With ``slop`` the window's first term stands at
-    ``word`` and every other one within that many words of its place: a definition that does not depend on the segment."""
-    n_words = int(first[-1])
+def _index_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> segments: documents, the first word of each, and the posting lists of all terms, by term. Counts and positions have two
+    bytes where a segment has no more words than these can tell apart, else four."""
+    uid = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for a, b, words in tk.each_words(batch.column(1), "ascii", True):
+            position = np.argsort(words.hash, kind="stable")
+            term = words.hash[position]
+            edge = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
+            small = np.uint16 if len(term) < 1 << 16 else np.int32
+            lists = [words.first.astype(np.int32), term[edge], np.diff(np.append(edge, len(term))).astype(small), position.astype(small)]
+            own = pa.array([np.arange(uid, uid + b - a)], pa.list_(pa.int64()))
+            uid += b - a
+            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([own, ids, *(pa.array([x.tobytes()], pa.binary()) for x in lists)], schema=_index)
+
+
+class Segment:
+    """A stored segment: ``first`` words of its documents (and the end), its sorted ``term`` hashes, the ``count`` of each and their ``position`` lists,
+    end to end."""
+
+    def __init__(self, first: bytes, term: bytes, count: bytes, position: bytes):
+        self.first, self.term = np.frombuffer(first, np.int32), np.frombuffer(term, np.uint64)
+        self.words = int(self.first[-1]) if len(self.first) else 0
+        small = np.uint16 if self.words < 1 << 16 else np.int32
+        self.count, self.position = (np.frombuffer(x, small).astype(np.int64) for x in (count, position))
+
+    def lists(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the vocabulary, count) of the segment's test terms, and their lists, end to end."""
+        at = np.searchsorted(vocabulary, self.term)
+        at[at == len(vocabulary)] = 0
+        known = np.flatnonzero(vocabulary[at] == self.term) if len(vocabulary) else np.zeros(0, np.int64)
+        n, begin = self.count[known], (np.cumsum(self.count) - self.count)[known]
+        return at[known], n, self.position[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def occurrences(phrases: Phrases, segment: Segment, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word) of every match of every window in a segment, by intersecting offset-adjusted posting lists from the rarest term on. A
+    match lies in one document. With ``slop`` the window's first term stands at ``word`` and every other one within that many words of its
+    place: a definition that does not depend on the segment."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    term, count, position = segment.lists(phrases.vocabulary)
     if not len(phrases.terms) or not len(term):
         return none
     have = np.zeros(len(phrases.vocabulary) + 1, dtype=np.int64)
     begin = np.zeros(len(phrases.vocabulary) + 1, dtype=np.int64)
     have[term], begin[term] = count, np.cumsum(count) - count
-    size = phrases.size
-    pad = np.iinfo(np.int64).max
-    frequency = np.where(phrases.terms >= 0, have[phrases.terms], pad)
+    # lists in the order of terms, positions rising: one sorted array of (term, position), in which a list is intersected by bisection
+    stride = segment.words + 1
+    posting = np.repeat(term, count) * stride + position
+    size, first = phrases.size, segment.first
+
+    def stands(wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Does the wanted term stand at a word of [low, high)?"""
+        from_, to = np.searchsorted(posting, wanted * stride + low), np.searchsorted(posting, wanted * stride + high)
+        return (high > low) & (to > from_)
+
+    frequency = np.where(phrases.terms >= 0, have[phrases.terms], np.iinfo(np.int64).max)
     alive = np.flatnonzero(frequency.min(axis=1) > 0)
     if not len(alive):
         return none
-    at_word = np.full(n_words + 2 * (size + slop), -1, dtype=np.int32)  # the lists by position, with a margin
-    margin = size + slop
-    at_word[position + margin] = np.repeat(term, count)
     order = np.argsort(frequency[alive], axis=1, kind="stable")
     rare = frequency[alive, order[:, 0]]
     out_window, out_word = [], []
@@ -115,24 +129,23 @@ def occurrences(phrases: Phrases, first: np.ndarray, term: np.ndarray, count: np
         k = order[lo:hi]
         which = np.repeat(np.arange(hi - lo), r)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(r) - r, r)
-        word = position[begin[phrases.terms[w, k[:, 0]]][which] + inside].astype(np.int64) - k[which, 0]
-        if slop:
+        word = position[begin[phrases.terms[w, k[:, 0]]][which] + inside] - k[which, 0]
+        if slop:  # the first term stands within reach of where the rarest one puts it
             word, which = (word[:, None] + np.arange(-slop, slop + 1)).ravel(), np.repeat(which, 2 * slop + 1)
-            begins = at_word[np.clip(word + margin, 0, len(at_word) - 1)] == phrases.terms[w[which], 0]
-            pair = np.unique(which[begins] * len(at_word) + word[begins])
-            which, word = pair // len(at_word), pair % len(at_word)
+            real = (word >= 0) & (word < segment.words)
+            pair = np.unique(which[real] * stride + word[real])
+            which, word = pair // stride, pair % stride
+            begins = stands(phrases.terms[w[which], 0].astype(np.int64), word, word + 1)
+            which, word = which[begins], word[begins]
         else:
             which, word = which[word >= 0], word[word >= 0]
         doc = np.searchsorted(first, word, side="right") - 1
-        low, high = first[doc], first[np.minimum(doc + 1, len(first) - 1)]
+        low, high = first[doc].astype(np.int64), first[np.minimum(doc + 1, len(first) - 1)].astype(np.int64)
         for j in range(size):
             offset = k[which, j]
-            wanted = phrases.terms[w[which], offset]
-            place = word + offset + margin
-            ok = wanted < 0
-            for d in range(-slop, slop + 1):
-                here = word + offset + d
-                ok = ok | ((at_word[np.clip(place + d, 0, len(at_word) - 1)] == wanted) & (here >= low) & (here < high))
+            wanted = phrases.terms[w[which], offset].astype(np.int64)
+            here = word + offset
+            ok = (wanted < 0) | stands(np.maximum(wanted, 0), np.maximum(here - slop, low), np.minimum(here + slop + 1, high))
             which, word, low, high = which[ok], word[ok], low[ok], high[ok]
             if not len(which):
                 break
@@ -165,11 +178,12 @@ def _search(sent, slop: int):
         phrases: Phrases = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                first, term, count, position = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in range(2, 6))
-                rows, n_words = len(first) - 1, int(first[-1]) if len(first) else 0
+                segment = Segment(*(batch.column(c)[k].as_buffer() for c in range(2, 6)))
+                first, n_words = segment.first, segment.words
+                rows = len(first) - 1
                 found = {}
                 for s in sorted({0, slop}):
-                    window, word = occurrences(phrases, first, term, count, position, s) if n_words else (np.zeros(0, np.int64),) * 2
+                    window, word = occurrences(phrases, segment, s) if n_words else (np.zeros(0, np.int64),) * 2
                     found[s] = window, word, np.searchsorted(first, word, side="right") - 1, phrases.length[window]
                 window, word, doc, length = found[0]
                 step = np.zeros(n_words + 1, dtype=np.int64)
@@ -199,6 +213,34 @@ def _search(sent, slop: int):
     return run
 
 
+def segments_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index of ``docs``, a row for each segment, to be written and searched as often as one likes. It takes about as much room as the
+    compressed text. Null texts have no words; other columns are ignored."""
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _index_scan, _INDEX)
+
+
+def search(index: DataFrame, items: DataFrame, size: int = 13, slop: int = 2, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``matches`` of the documents of a written index. The index is read once for each PASS_CHARS characters of ``items``."""
+    spark: SparkSession = index.sparkSession
+    test = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    with Workspace(spark, "contamination") as ws:
+        chars = test.agg(F.sum(F.length("text"))).first()[0] or 0
+        passes = max(1, -(-chars // PASS_CHARS))
+        parts = []
+        for k in range(passes):
+            own = (test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else test).toPandas()
+            sent = spark.sparkContext.broadcast(Phrases(own["item"].tolist(), own["text"].tolist(), size))
+            found = map_arrow(index, _search(sent, slop), _HITS)
+            if passes == 1:
+                return durable(spark, found)
+            parts.append(ws.table(found))
+            sent.destroy()
+        out = reduce(DataFrame.union, parts)
+        merged = (F.flatten(F.collect_list(c)) for c in ("hits", "items", "near"))
+        out = out.groupBy("uid", "doc_id", "n_words").agg(*(m.alias(c) for m, c in zip(merged, ("hits", "items", "near"), strict=True)))
+        return durable(spark, out.withColumns({"items": F.array_sort(F.array_distinct("items")), "near": F.array_sort(F.array_distinct(F.array_except("near", "items")))}))
+
+
 def matches(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Where windows of ``size`` consecutive words of ``items`` stand in ``docs``: one row for each row of ``docs`` with ``uid``, ``doc_id``,
     ``n_words``, ``hits`` (ranges [a, b) of words in exact matches), ``items`` (ids, as sorted strings, of items with exact matches) and ``near``
@@ -206,36 +248,11 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 2, id
 
     Words are lower-cased letters, digits and everything beyond ASCII. An item with fewer words, but some, is one
     window. Null texts have no words; items with a null id are passed over; items that share an id are one. Other columns are
-    ignored; empty tables give no matches.
+    ignored; repeated rows are judged each; empty tables give no matches. A very long text is a segment of its own, held whole in memory of some
+    forty times its size.
     """
-    spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "contamination")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    test = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    chars = test.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-chars // PASS_CHARS))
-    if passes > 1:  # the passes must number the rows alike
-        source = ws.table(source)
-    parts = []
-    for k in range(passes):
-        own = test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).toPandas() if passes > 1 else test.toPandas()
-        phrases = Phrases(own["item"].tolist(), own["text"].tolist(), size)
-        vocabulary, sent = spark.sparkContext.broadcast(phrases.vocabulary.tobytes()), spark.sparkContext.broadcast(phrases)
-        index = ws.table(map_arrow(source, _index_scan(vocabulary), _INDEX))
-        parts.append(ws.table(map_arrow(index, _search(sent, slop), _HITS)))
-        ws.drop(index)
-        vocabulary.destroy()
-        sent.destroy()
-    out = parts[0]
-    if passes > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        merged = (F.flatten(F.collect_list(c)) for c in ("hits", "items", "near"))
-        out = out.groupBy("uid", "doc_id", "n_words").agg(*(m.alias(c) for m, c in zip(merged, ("hits", "items", "near"), strict=True)))
-        out = out.withColumns({"items": F.array_sort(F.array_distinct("items")), "near": F.array_sort(F.array_distinct(F.array_except("near", "items")))})
-    out = durable(spark, out)
-    ws.close()
-    return out
+    with Workspace(docs.sparkSession, "index") as ws:
+        return search(ws.table(segments_of(docs, id_col, text_col)), items, size, slop, item_col, text_col)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

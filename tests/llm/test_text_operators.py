@@ -282,6 +282,31 @@ def test_contamination(spark, monkeypatch, passes):
     assert sum(r[5] for r in out) > 5
 
 
+def test_one_index_serves_two_benchmarks(spark, tmp_path, monkeypatch):
+    """The written index holds every term, is built once and is searched for any items, also in parts."""
+    rows = corpus(7)
+    con.segments_of(frame(spark, rows).repartition(2)).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    words = {x for _, t in rows for x in ASCII.findall((t or "").translate(LOWER))}
+    stored = {int(h) for r in index.collect() for h in np.frombuffer(r["term"], np.uint64)}
+    assert len(stored) == len(words)
+    monkeypatch.setattr(con, "segments_of", None)  # no search builds an index
+    for chars in (1 << 22, 300):
+        monkeypatch.setattr(con, "PASS_CHARS", chars)
+        for items in (benchmark(rows), [(7, "w3 w4"), (8, rows[3][1])]):
+            got = con.search(index, spark.createDataFrame(items, "item_id long, text string"), 13, 0)
+            want = {(i, n, x) for i, n, _, x, _, _ in contaminated(rows, items, 13, 20)}
+            assert {(r["doc_id"], r["n_words"], len(r["items"])) for r in got.collect()} == want
+
+
+def test_long_segments(spark):
+    """A text with more words than two bytes can number."""
+    text = " ".join(f"a{k % 7919}" for k in range(70000))
+    item = " ".join(f"a{k % 7919}" for k in range(66000, 66013))
+    out = contamination(frame(spark, [(1, text), (2, "a b")]), spark.createDataFrame([(5, item)], "item_id long, text string"), 13, 20, 0)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in out.collect()) == [(1, 70000, 13 * 9), (2, 2, 0)]
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = [(1, "a b"), (2, None)]
