@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings in the manner of bag-of-tricks text classification.
 
-Words, word pairs and character 3- and 4-grams are hashed to buckets, each with a learned vector; a document is the average of
+Words, word pairs and the 3- and 4-grams of a word's characters are hashed to buckets, each with a learned vector; a document is the average of
 its vectors, and a softmax layer gives the class. Training is numpy stochastic gradient descent on a bounded sample
 of labelled rows. Because averaging and the output layer are linear, scoring needs one number per bucket: a document's logit
 is the average of its buckets' numbers, taken over the whole text in one vectorised pass.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .store import map_arrow
 
-#: Hash buckets of all kinds of features.
-BUCKETS = 1 << 16
+#: Hash buckets of all kinds of features, and the lengths of character n-grams.
+BUCKETS, GRAMS = 1 << 16, (3, 4)
 #: Most labelled rows that training reads (the smallest by a hash of their id), dimensions, passes and step.
 SAMPLE, DIMENSIONS, EPOCHS, RATE = 2000, 8, 16, 4.0
 
@@ -36,18 +36,10 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     same = text[1:] == text[:-1]
     found_text = [text, text[1:][same]]
     found = [_bucket(words.hash, 1), _bucket(pair[same], 2)]
-    wide = data.astype(np.uint32)
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
-    for n in (3, 4):
-        if len(data) < n:
-            continue
-        code = np.zeros(len(data) - n + 1, dtype=np.uint32)
-        for k in range(n):
-            code |= wide[k : len(data) - n + 1 + k] << np.uint32(8 * k)
-        inside = owner[: len(code)] == owner[n - 1 :]
-        code = (code[inside] * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B)
-        found.append((code >> np.uint32(16)).astype(np.int64) & (BUCKETS - 1))
-        found_text.append(owner[: len(inside)][inside])
+    for n in GRAMS:
+        word, gram = words.grams(n)
+        found.append(_bucket(gram, n))
+        found_text.append(text[word])
     return np.concatenate(found_text), np.concatenate(found)
 
 
@@ -145,7 +137,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row of ``docs``: the probability of label 1 over the whole text. Null texts are empty and
-    score by the constant; ids may be null or repeat; other columns are ignored."""
+    score by the constant; ids may be null or repeat, and repeated rows score alike; other columns are ignored; an empty table gives an empty
+    result. A very long text is one step, in memory of some fifty times its size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .pii import digest, find_pii
 from .quality import fit_quality, score_quality
+from .store import bound_batches
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -28,6 +29,8 @@ PHRASE_WORDS, HIT_SHARE = 13, 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. A query is an application: it bounds its session's Arrow batches, also for results that the caller runs."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -95,7 +95,7 @@ class Words:
     """Words of a range of texts: ``hash`` (uint64 each), ``start``/``end`` (bytes in ``data``), ``first`` (index of
     each text's first word, one more at the end)."""
 
-    __slots__ = ("data", "end", "first", "hash", "start")
+    __slots__ = ("data", "end", "first", "hash", "start", "total")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool):
         rows = len(offsets) - 1
@@ -109,9 +109,27 @@ class Words:
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         self.first = np.searchsorted(self.start, np.append((offsets[:-1] + np.arange(rows)), len(gap)))
-        total = np.zeros(len(gap) + 1, dtype=_U)
-        np.cumsum(_BYTE[gap] * _power("up", len(gap)), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power("down", len(gap) + 1)[self.start])
+        self.total = np.zeros(len(gap) + 1, dtype=_U)
+        np.cumsum(_BYTE[gap] * _power("up", len(gap)), out=self.total[1:])
+        self.hash = self.between(self.start, self.end)
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each range of ``data``."""
+        return mix((self.total[end] - self.total[start]) * _power("down", len(self.total))[start])
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of every run of ``n`` characters (code points) within a word."""
+        lead = (self.data & 0xC0) != 0x80
+        size = self.end - self.start
+        byte = np.repeat(self.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        word = np.repeat(np.arange(len(size)), size)
+        whole = lead[byte]
+        byte, word = byte[whole], word[whole]
+        if len(byte) < n:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        same = word[: len(word) - n + 1] == word[n - 1 :]
+        following = np.append(np.where(np.append(word[1:] == word[:-1], False), np.append(byte[1:], 0), self.end[word]), 0)
+        return word[: len(same)][same], self.between(byte[: len(same)][same], following[n - 1 : n - 1 + len(same)][same])
 
 
 def each_words(texts: pa.Array, kind: str, lower: bool, most: int = STEP_BYTES) -> Iterator[tuple[int, int, Words]]:

@@ -3,7 +3,9 @@
 A logistic model over the distinct words of a text, by whole word and by word beginnings, so that inflected forms of a stem count.
 Weights are not negative and mostly zero (an L1 penalty): long texts gather no noise, and a toxic word is not outvoted by
 the text around it. Identity terms in labelled sentences are swapped for others of their group and every change of score is
-penalised, as are swaps within each group of the lexicon itself, so that a neutral mention of a group does not move a score.
+penalised, as are swaps within each group of the lexicon itself, so that a neutral mention of a group does not move a score. The penalty
+is on the change of the logit, of which a score's change is at most a quarter: it holds in every context, also where the score of
+the labelled sentence is near 0 or 1 and would hide the change, and it keeps the fit convex.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from .quality import labelled_sample, sigmoid
 from .store import map_arrow
 
 #: Hash buckets; lengths in bytes of the word beginnings that are features.
-BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6)
+BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6, 7, 8)
 #: Most labelled rows that training reads (the smallest by a hash of their id), steps, and the penalties' factors.
 SAMPLE, STEPS, SPARSE, SWAP = 6000, 400, 5e-4, 0.05
+#: Parts of the sample that are scored by a fit without them, for calibration.
+FOLDS = 3
 #: How much likelier under label 1 a bucket must be to be fitted at all.
 LIFT = 2.0
 #: Swaps that are tried for each identity term of a labelled sentence.
@@ -111,13 +115,33 @@ def counterfactuals(hashes: np.ndarray, bag: np.ndarray, lexicon: Lexicon) -> li
 
 
 def train(examples: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, float]:
-    """(weight per bucket, constant) by accelerated proximal gradient on the mean log loss, classes weighted alike, plus SPARSE times
-    the weights' sum plus SWAP times the mean squared change of the logit over ``swaps``; weights are never negative. The
-    constant is then set so that a mean score equals the share of label 1."""
+    """(weight per bucket, constant): the weights of ``fit``, scaled and shifted so that scores are probabilities (Platt), by the logits that fits
+    without a part of the sample give to this part; those of a fit to its own sample are too sure."""
     share = (labels.sum() + 1) / (len(labels) + 2)
-    weight, constant = np.zeros(BUCKETS), float(np.log(share / (1 - share)))
     if len(np.unique(labels)) < 2:
-        return weight.astype(np.float32), constant
+        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    weight, bias = fit(examples, labels, swaps)
+    logit, part = np.zeros(len(examples)), np.arange(len(examples)) % FOLDS
+    for k in range(FOLDS):
+        rest = np.flatnonzero(part != k)
+        own, b = fit([examples[i] for i in rest], labels[rest], swaps) if len(np.unique(labels[rest])) == 2 else (weight, bias)
+        for i in np.flatnonzero(part == k):
+            logit[i] = own[examples[i]].sum() + b
+    a, c = 1.0, 0.0
+    for _ in range(60):
+        p = sigmoid(a * logit + c)
+        q = np.maximum(p * (1 - p), 1e-6)
+        hess = np.array([[(q * logit * logit).sum() + 1e-3, (q * logit).sum()], [(q * logit).sum(), q.sum() + 1e-3]])
+        move = np.linalg.solve(hess, [((p - labels) * logit).sum(), (p - labels).sum()])
+        a, c = a - np.clip(move[0], -1, 1), c - np.clip(move[1], -1, 1)
+    a = max(a, 0.0)
+    return (weight * a).astype(np.float32), float(a * bias + c)
+
+
+def fit(examples: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, float]:
+    """(weight per bucket, constant) by accelerated proximal gradient on the mean log loss, classes weighted alike, plus SPARSE times
+    the weights' sum plus SWAP times the mean squared change of the logit over ``swaps``; weights are never negative."""
+    weight = np.zeros(BUCKETS)
     size = np.array([len(e) for e in examples])
     at = np.concatenate(examples).astype(np.int32)
     # a bucket that one text alone has, or that is no likelier under label 1, would end at zero
@@ -137,8 +161,12 @@ def train(examples: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list
     each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))  # classes weigh alike
 
     w, v, b, vb, t = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1.0
-    # step by the curvature's bound: rows' squared norms under the weights, and the swaps'
-    step = 1.0 / (0.25 * float((each * np.bincount(row, minlength=n)).max() * 50 + 0.5) + SWAP * 8)
+    # step by a bound of the curvature: the greatest row sum of the two Hessians' absolute values (a text's column of ones among them)
+    wide = each * (np.bincount(row, minlength=n) + 1)
+    steep = 0.25 * max(np.bincount(at, weights=wide[row], minlength=len(used)).max(initial=0.0), wide.sum())
+    if len(pairs):
+        steep += 2 * SWAP / len(pairs) * np.bincount(swap_at, weights=np.bincount(swap_row, minlength=len(pairs))[swap_row], minlength=len(used)).max(initial=0.0)
+    step = 1.0 / steep
     for _ in range(STEPS):
         z = np.bincount(row, weights=v[at], minlength=n) + vb
         r = each * (sigmoid(z) - y)
@@ -151,16 +179,7 @@ def train(examples: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list
         v, vb = new + (t - 1) / t2 * (new - w), newb + (t - 1) / t2 * (newb - b)
         w, b, t = new, newb, t2
     weight[used] = w
-    logit = np.bincount(row, weights=w[at], minlength=n)
-    # Platt scaling on the sample: a calibrated probability
-    a, c = 1.0, b
-    for _ in range(60):
-        p = sigmoid(a * logit + c)
-        q = np.maximum(p * (1 - p), 1e-6)
-        hess = np.array([[(q * logit * logit).sum() + 1e-3, (q * logit).sum()], [(q * logit).sum(), q.sum() + 1e-3]])
-        move = np.linalg.solve(hess, [((p - y) * logit).sum(), (p - y).sum()])
-        a, c = a - np.clip(move[0], -1, 1), c - np.clip(move[1], -1, 1)
-    return (weight * max(a, 0.0)).astype(np.float32), float(c)
+    return weight, float(b)
 
 
 def logits(texts: pa.Array, weight: np.ndarray, constant: float) -> np.ndarray:
@@ -213,7 +232,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, groups:
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row of ``docs``: the probability of label 1 over the whole text. Null texts are empty and
-    score by the constant; ids may be null or repeat; other columns are ignored."""
+    score by the constant; ids may be null or repeat, and repeated rows score alike; other columns are ignored; an empty table gives an empty
+    result. A very long text is one step, in memory of some forty times its size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from brute import contaminated, near_classes, page_rank, pii
 from helpers import of_duck, of_spark
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -449,10 +451,36 @@ def test_quality_held_out(spark):
     right = [(held[r[0]] >= 0.5) == bool(r[2]) for r in rows if r[0] % 3 == 1]
     assert sum(right) >= 0.95 * len(right)
     assert out.count() == docs.count()
+    assert len({r["score"] for r in out.where("doc_id = 3").collect()}) == 1
     assert out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert quality.quality_filter(docs, model).columns == docs.columns
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abñé日本🙂 \t\n"), max_size=14), max_size=6), st.integers(1, 4))
+def test_character_grams_stay_in_words(texts, n):
+    words = textkit.Words(*textkit.column_bytes(pa.array(texts, pa.string())), textkit.separators("space"), False)
+    word, gram = words.grams(n)
+    every = [w for t in texts for w in t.split()]
+    want = [(k, w[i : i + n]) for k, w in enumerate(every) for i in range(len(w) - n + 1)]
+    assert word.tolist() == [k for k, _ in want]
+    same = {}
+    assert all(same.setdefault(g, h) == h for (_, g), h in zip(want, gram.tolist(), strict=True))
+    assert len(set(same.values())) == len(same)
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op6_quality_classifier", "quality", 0.97), ("op3_toxicity", "toxic", 0.93)])
+def test_held_out_labels_of_the_test_table(spark, name, label, least):
+    folder = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in registry.QUERIES[name](spark, folder).collect()}
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(out[i]["predicted"] == q) for i, q in labels.items() if i in out and out[i]["held_out"]]
+    assert len(held) >= 50
+    assert sum(held) >= least * len(held)
+    folds, rest = (3, 1) if label == "quality" else (5, 0)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % folds == rest) and r["predicted"] == int(r["score"] >= 0.5) for i, r in out.items())
+
+
 def test_classifiers_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -463,10 +491,14 @@ def test_classifiers_without_labels(spark):
 
 def test_toxicity_held_out(spark):
     rows = labelled(600, 1)
-    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(None, "idiot")], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 5 <> 0"))
-    held = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    docs = spark.createDataFrame([(r[0], r[1], 7, "x") for r in rows] + [(None, "idiot", 7, "x"), (3, rows[3][1], 7, "x"), (2000, None, 7, "x"), (2001, "", 7, "x")], "doc_id long, text string, score int, toxic string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(None, 1), (9, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 5 <> 0 OR doc_id IS NULL"))
+    scored = toxicity.score_toxicity(docs, model).collect()
+    assert len(scored) == docs.count()
+    assert len({r["score"] for r in scored if r["doc_id"] == 3}) == 1  # repeated rows score alike
+    assert len({r["score"] for r in scored if r["doc_id"] in (2000, 2001)}) == 1
+    held = {r["doc_id"]: r["score"] for r in scored}
     right = [(held[r[0]] >= 0.5) == bool(r[3]) for r in rows if r[0] % 5 == 0]
     assert sum(right) >= 0.95 * len(right)
 
