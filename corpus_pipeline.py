@@ -18,7 +18,7 @@ from cardpulse.llm.packing import pack
 from cardpulse.llm.pii import find_pii, redacted
 from cardpulse.llm.quality import fit_quality, quality_filter
 from cardpulse.llm.registry import HIT_SHARE, PHRASE_WORDS, SEQUENCE_TOKENS, tokenizer_path
-from cardpulse.llm.store import Workspace, durable, without
+from cardpulse.llm.store import Workspace, bound_batches, durable, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: five-word shingles, a similarity of 0.8 or more.
@@ -26,7 +26,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (a score of at least one half); it learns from all labels."""
+    """Documents that the quality classifier accepts (a score of at least one half). It learns from at most quality.SAMPLE labelled rows. Null and
+    empty texts have a score of their own and stay or go together; null and repeated ids and long texts make no difference to a row's
+    verdict; without labels every document stays. An empty table stays empty."""
+    bound_batches(spark)  # the caller runs the result
     documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
     return quality_filter(docs.select(*COLUMNS), fit_quality(documents, labels))
 
@@ -37,7 +40,9 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that with the smallest id (nulls last, then any one), of each class of near duplicates. Rows are judged one by one."""
+    """One row, that with the smallest id (nulls last, then any one), of each class of near duplicates. Rows are judged one by one, also those
+    that share an id or have none; rows without words are no duplicates and all stay. Long texts are compared whole. An empty table stays
+    empty."""
     rows = numbered(spark, docs)
     classes = near_duplicates(rows, NEAR_WORDS, NEAR_PERCENT, id_col="uid").select(F.col("doc_id").alias("uid"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
@@ -46,20 +51,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in windows of benchmark items. Rows are judged one by one."""
+    """Documents of whose words less than a twentieth stand in windows of benchmark items. Rows are judged one by one, also those that share an
+    id or have none; a row without words stays. Long texts are searched whole. An empty table stays empty, and without items all stay."""
     rows = numbered(spark, docs)
     found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), PHRASE_WORDS, HIT_SHARE, slop=0, id_col="uid")
     return without(rows, found.where("contaminated").select(F.col("doc_id").alias("uid")), "uid").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind; n_chars follows."""
+    """All documents, with personal data replaced by the name of its kind; n_chars follows. A null text becomes the empty text; ids and other
+    columns stay as they are; long texts are read whole. An empty table stays empty."""
     clean = find_pii(docs, keep=("lang", "source")).withColumn("text", redacted("text", "found"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids. A null or empty text is the end token alone; rows that share an id, or have none, are documents
+    of their own; a long text is cut over sequences. An empty table gives no pieces."""
     return pack(docs, tokenizer_path(), SEQUENCE_TOKENS, ids_too=True)
 
 
@@ -77,10 +85,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of ``sf_dir``, each written and read back."""
-    ws, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        before, docs = docs, ws.table(stage(spark, docs, sf_dir))
-        ws.drop(before)
-    out = durable(spark, STAGES[-1][1](spark, docs, sf_dir))
-    ws.close()
-    return out
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Workspace(spark, "pipeline") as ws:
+        for _, stage in STAGES[:-1]:
+            before, docs = docs, ws.table(stage(spark, docs, sf_dir))
+            ws.drop(before)
+        return durable(spark, STAGES[-1][1](spark, docs, sf_dir))
