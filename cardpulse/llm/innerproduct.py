@@ -2,24 +2,26 @@
 
 Vectors are written once, range-partitioned by descending length, so that a partition holds one band of lengths. The longest vectors
 give every query a first threshold and, by singular value decomposition, a rotation that puts most of the length
-into the leading coordinates. A partition is passed over for a query when |q| |x| falls short of the query's threshold; in it, the
-product over the leading coordinates plus the Cauchy-Schwarz bound of the rest prunes vectors; what is left is multiplied
-in integers. Queries are taken in blocks of a bounded number, each against all vectors.
+into the leading coordinates. Vectors whose |q| |x| falls short of the threshold of every query of a block are not read (a filter on the
+stored length, by which files are sorted); a step is passed over for a query by the same bound; in it, the product over the leading
+coordinates plus the Cauchy-Schwarz bound of the rest prunes vectors; what is left is multiplied in integers. Queries are taken in blocks
+of a bounded number, each against all vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace, durable, map_arrow
+from .store import PART_BYTES, Workspace, durable, map_arrow, plan_bytes
 
 #: Queries of a block, longest vectors that set thresholds and rotation, share of their squared length in the leading coordinates.
-QUERY_BLOCK, LONGEST, LEADING = 2048, 2048, 0.6
+QUERY_BLOCK, LONGEST, LEADING = 8192, 2048, 0.6
 #: Vectors that are bounded and multiplied at once.
 STEP = 1024
 #: Relative slack of bounds in floating point.
@@ -43,6 +45,8 @@ def _integers(scale: float):
             for i in np.flatnonzero((sizes >= 0) & ids.is_valid().to_numpy(zero_copy_only=False)):
                 x = np.floor(scale * values[ends[i] - sizes[i] : ends[i]])
                 if np.isfinite(x).all():
+                    if len(x) and np.abs(x).max() >= 2.0**63:
+                        raise OverflowError("a scaled component does not fit 64 bits")
                     keep.append(i)
                     rows.append(x.astype(np.int64).tobytes())
                     lengths.append(float(np.sqrt((x * x).sum())))
@@ -52,11 +56,17 @@ def _integers(scale: float):
 
 
 def products(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: in floating point where no sum can leave 2**53."""
-    most = max(int(np.abs(one).max(initial=0)), 1) * max(int(np.abs(two).max(initial=0)), 1) * max(one.shape[1], 1)
+    """Exact integer products of rows: in floating point where no sum can leave 2**53, in wide integers where one could leave 2**63; an error where one does."""
+    greatest = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))), 1) for m in (one, two)]
+    most = greatest[0] * greatest[1] * max(one.shape[1], 1)
     if most < 1 << 53:
         return (one.astype(np.float64) @ two.astype(np.float64).T).astype(np.int64)
-    return one @ two.T
+    if most < 1 << 63:
+        return one @ two.T
+    wide = one.astype(object) @ two.astype(object).T
+    if any(abs(x) >= 1 << 63 for x in wide.ravel()):
+        raise OverflowError("a product does not fit 64 bits")
+    return wide.astype(np.int64)
 
 
 class Block:
@@ -79,6 +89,13 @@ class Block:
                 self.threshold = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
 
 
+    def least_length(self) -> float:
+        """No shorter vector is among the best of any query of the block."""
+        if not len(self.ids) or not np.isfinite(self.threshold).all() or (self.threshold <= 0).any():
+            return 0.0
+        return float((self.threshold / np.maximum(self.length, 1e-300)).min()) * (1 - 1e-6)
+
+
 def search(block: Block, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, vec_id, score) of the k best of each query among (ids, lengths, rows) that come by falling length; at least the k best, ties by id."""
     found = [np.zeros(0, np.int64)] * 3
@@ -152,35 +169,33 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: flo
     ``vec_id``, ``score``; ties go to the smaller id, and all are returned if there are fewer than ``k``.
 
     A component x counts as floor(scale * x). Null vectors, vectors with null or non-finite components and rows with null ids take no part; a
-    vector meets only vectors with as many components. Repeated rows are rows of their own on either side. Other columns are ignored.
+    vector meets only vectors with as many components. Repeated rows are rows of their own on either side. Other columns are ignored; an empty
+    table on either side gives an empty result. A very long vector is a row like any other. Scaled components and products that do not fit 64
+    bits are an error. For every distinct number of components among the queries, LONGEST vectors reach the driver.
     """
     spark: SparkSession = vectors.sparkSession
-    ws = Workspace(spark, "innerproduct")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def whole(df: DataFrame) -> DataFrame:
-        return map_arrow(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")), _integers(scale), _VECTORS)
-
-    held = ws.table(whole(vectors).repartitionByRange(n, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id"))
-    asked = ws.table(whole(queries).withColumn("query", F.monotonically_increasing_id()))
-    passes = max(1, -(-asked.count() // QUERY_BLOCK))
-    sizes = [r[0] for r in asked.select("dims").distinct().orderBy("dims").collect()]
-    longest = {d: held.where(F.col("dims") == d).orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("vec_id", "components").toPandas() for d in sizes}
-    parts = []
-    for p in range(passes):
-        own = asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p).orderBy("query").toPandas()
-        blocks = {}
-        for d in sizes:
-            q = own[own["dims"] == d]
-            if len(q):
-                blocks[int(d)] = Block(q["query"].to_numpy(dtype=np.int64), q["vec_id"].to_numpy(dtype=np.int64), _matrix(q["components"].tolist(), int(d)), longest[d]["vec_id"].to_numpy(dtype=np.int64), _matrix(longest[d]["components"].tolist(), int(d)), k)
-        sent = spark.sparkContext.broadcast(blocks)
-        parts.append(ws.table(map_arrow(held, _search_partition(sent), _HITS)))
-        sent.destroy()
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.union(more)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    out = durable(spark, hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    ws.close()
-    return out
+    with Workspace(spark, "innerproduct") as ws:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(vectors) // PART_BYTES))
+
+        def whole(df: DataFrame) -> DataFrame:
+            return map_arrow(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")), _integers(scale), _VECTORS)
+
+        held = ws.table(whole(vectors).repartitionByRange(n, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id"))
+        asked = ws.table(whole(queries).withColumn("query", F.monotonically_increasing_id()))
+        passes = max(1, -(-asked.count() // QUERY_BLOCK))
+        first = F.row_number().over(Window.partitionBy("dims").orderBy(F.desc("length"), "vec_id"))
+        longest = held.join(F.broadcast(asked.select("dims").distinct()), "dims", "left_semi").withColumn("rank", first).where(F.col("rank") <= LONGEST).toPandas()
+        parts = []
+        for p in range(passes):
+            own = asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p).orderBy("query").toPandas()
+            blocks = {}
+            for d, q in own.groupby("dims"):
+                top = longest[longest["dims"] == d].sort_values("rank")
+                blocks[int(d)] = Block(q["query"].to_numpy(dtype=np.int64), q["vec_id"].to_numpy(dtype=np.int64), _matrix(q["components"].tolist(), int(d)), top["vec_id"].to_numpy(dtype=np.int64), _matrix(top["components"].tolist(), int(d)), k)
+            sent = spark.sparkContext.broadcast(blocks)
+            near = held.where(F.col("length") >= min((b.least_length() for b in blocks.values()), default=0.0))
+            parts.append(ws.table(map_arrow(near, _search_partition(sent), _HITS)))
+            sent.destroy()
+        hits = reduce(DataFrame.union, parts)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        return durable(spark, hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

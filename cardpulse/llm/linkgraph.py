@@ -84,35 +84,34 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, id_
 
     A host's trust starts from its share of all rule-allowed pages, its distrust from its share of all rule-blocked ones; a host without
     either score is allowed. Null urls and those without ``://`` have an empty host and path, fit no rule and are allowed; null
-    pages have no links. Ids may be null or repeat; other columns are ignored.
+    pages have no links. Ids may be null or repeat, and repeated pages count as pages each; other columns are ignored; an empty table gives an
+    empty result. A very long page is one row's work, linear in its length.
     """
     spark: SparkSession = pages.sparkSession
-    ws = Workspace(spark, "linkgraph")
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    named = source.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    ruled = ws.table(named.drop("html").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)))
-    links = ws.table(host_links(named))
-
-    allowing = [h + p for h, p, allow in rules if allow]
-    kind = F.when(F.col("rule").isin(allowing), F.lit("trust")).otherwise(F.lit("distrust"))
-    hits = ws.table(ruled.where("rule IS NOT NULL").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n")))
-    totals = hits.groupBy("kind").agg(F.sum("n").alias("total"))
-    seeds = hits.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("score"))
-    # links are shared out by the degree of where a score comes from: trust follows them, distrust runs against them
-    out = ws.table(links.groupBy("source").agg(F.sum("links").alias("m")))
-    into = ws.table(links.groupBy("target").agg(F.sum("links").alias("m")))
-    share = F.col("links") / F.col("m")
-    forward = links.join(out, "source").select(F.lit("trust").alias("kind"), "source", "target", share.alias("share"))
-    back = links.join(into, "target").select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), share.alias("share"))
-    edges = ws.table(forward.union(back))
-    scores = propagate(ws, edges, seeds)
-    by_host = ws.table(scores.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust"))))
-
-    zero = F.lit(0.0)
-    trust, distrust = F.coalesce("trust", zero), F.coalesce("distrust", zero)
-    by_rule = F.when(F.col("rule").isin(allowing), F.lit("allow")).otherwise(F.lit("block"))
-    by_score = F.when(distrust - trust > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    result = ruled.join(by_host, "host", "left").select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), by_rule).otherwise(by_score).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
-    result = durable(spark, result)
-    ws.close()
-    return result
+    with Workspace(spark, "linkgraph") as ws:
+        source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+        named = source.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+        ruled = ws.table(named.drop("html").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)))
+        links = ws.table(host_links(named))
+
+        allowing = [h + p for h, p, allow in rules if allow]
+        kind = F.when(F.col("rule").isin(allowing), F.lit("trust")).otherwise(F.lit("distrust"))
+        hits = ws.table(ruled.where("rule IS NOT NULL").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n")))
+        totals = hits.groupBy("kind").agg(F.sum("n").alias("total"))
+        seeds = hits.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("score"))
+        # links are shared out by the degree of where a score comes from: trust follows them, distrust runs against them
+        out = ws.table(links.groupBy("source").agg(F.sum("links").alias("m")))
+        into = ws.table(links.groupBy("target").agg(F.sum("links").alias("m")))
+        share = F.col("links") / F.col("m")
+        forward = links.join(out, "source").select(F.lit("trust").alias("kind"), "source", "target", share.alias("share"))
+        back = links.join(into, "target").select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), share.alias("share"))
+        edges = ws.table(forward.union(back))
+        scores = propagate(ws, edges, seeds)
+        by_host = ws.table(scores.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust"))))
+
+        zero = F.lit(0.0)
+        trust, distrust = F.coalesce("trust", zero), F.coalesce("distrust", zero)
+        by_rule = F.when(F.col("rule").isin(allowing), F.lit("allow")).otherwise(F.lit("block"))
+        by_score = F.when(distrust - trust > threshold, F.lit("block")).otherwise(F.lit("allow"))
+        result = ruled.join(by_host, "host", "left").select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), by_rule).otherwise(by_score).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+        return durable(spark, result)

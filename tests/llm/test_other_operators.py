@@ -611,8 +611,30 @@ def test_top_products(spark, monkeypatch, block):
     assert innerproduct.top_products(df.where("false"), df.where("false")).count() == 0
 
 
-def test_top_products_against_sql(spark, duck, sf):
-    assert of_spark(registry.QUERIES["op9_exact_topk"](spark, sf)) == of_duck(duck.sql(registry.ORACLE_SQL["op9_exact_topk"]))
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
+def test_queries_against_sql(spark, duck, sf, name):
+    assert of_spark(registry.QUERIES[name](spark, sf)) == of_duck(duck.sql(registry.ORACLE_SQL[name]))
+
+
+def test_products_of_great_numbers():
+    one, two = np.array([[1 << 40, -(1 << 39)]], dtype=np.int64), np.array([[3, 1], [1 << 30, -(1 << 30)]], dtype=np.int64)
+    assert innerproduct.products(one, two[:1]).tolist() == [[3 * (1 << 40) - (1 << 39)]]
+    assert innerproduct.products(one // 1024, two).tolist() == [[(3 << 30) - (1 << 29), (1 << 60) + (1 << 59)]]
+    with pytest.raises(OverflowError):
+        innerproduct.products(one, two)
+
+
+def test_short_vectors_are_not_read():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-50, 50, (400, 5))
+    rows[:200] *= 40
+    order = np.argsort(-(rows**2).sum(axis=1))
+    block = innerproduct.Block(np.arange(20), np.arange(20) + 1000, rows[:20], order[:50], rows[order[:50]], 10)
+    least = block.least_length()
+    score = rows[:20] @ rows.T
+    best = np.argsort(-score, axis=1)[:, :10]
+    assert 0 < least <= np.sqrt((rows[best.ravel()] ** 2).sum(axis=1)).min()
+    assert (np.sqrt((rows**2).sum(axis=1)) < least).sum() > 50
 
 
 # pipeline
