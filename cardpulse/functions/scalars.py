@@ -26,11 +26,6 @@ def parse_time(text: Column, layout: str | None = None) -> Column:
     return F.try_to_timestamp(text, F.lit(layout)) if layout else F.try_to_timestamp(text)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since the epoch, rounded down."""
-    return F.unix_seconds(ts)
-
-
 def iso_time(seconds: Column) -> Column:
     """ISO-8601 text in UTC (the session's time zone is pinned to it) of epoch seconds."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -51,11 +46,6 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def ln1p(x: Column) -> Column:
-    """log(1 + x)."""
-    return F.log1p(x)
-
-
 def cents(amount: Column, scale: int) -> Column:
     """``amount`` as a whole number of units of 10**-scale."""
     return F.round(amount * 10**scale).cast("long")

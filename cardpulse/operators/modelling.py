@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..plans.features import DAMP
-from ..schema import GOLD_FEATURES, gold_type
+from ..schema import gold_type
 from . import ranking
 from .clean import add_missing
+from .quantiles import exact_quantiles
 
 #: Named feature sets; order matters for vectors.
 _A = ("prior_amount_zscore", "amount_sum_last_1h")
@@ -32,13 +34,16 @@ FEATURE_SETS: dict[str, tuple[str, ...]] = {
     "amount_plus_velocity": (*_A, "tx_count_last_15m", "tx_count_last_1h"),
     "full_baseline": (*_AN, "merchant_prior_fraud_rate", "tx_count_last_15m", "tx_count_last_1h"),
 }
-#: Feature columns of a model frame.
+#: Feature columns of a model frame.
 MODEL_FEATURES = (
     "hour_of_day", "prior_amount_zscore", "amount_sum_last_1h", "is_night_transaction", "merchant_prior_fraud_rate", "tx_count_last_15m", "tx_count_last_1h",
     "prior_tx_count_card_category", "prior_amount_mean_card_category", "prior_amount_std_card_category", _Z, _DAMPED, _SHRUNK,
     "prior_category_zscore_eligible", "low_history_card_category", "prior_category_log_prior_n",
 )
 SPLITS = ("train", "validation", "test")
+#: Hyperparameters.
+TREES = {"maxIter": 30, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
+LOGISTIC = {"maxIter": 50, "regParam": 0.01, "elasticNetParam": 0.0}
 
 
 def fill_defaults(df: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> DataFrame:
@@ -58,8 +63,11 @@ def model_frame(gold: DataFrame) -> DataFrame:
 
 def split_bounds(df: DataFrame, exact: bool = False, at: tuple[float, float] = (0.70, 0.85)) -> tuple[int, int]:
     """The event times that end train and validation: sketched within 0.1 %, or exact discrete quantiles."""
-    found = df.approxQuantile("event_time_unix", list(at), 0.0 if exact else 0.001)
-    if len(found) != 2:
+    if exact:
+        found = exact_quantiles(df, [("event_time_unix", p) for p in at]).get(None, (0, []))[1]
+    else:
+        found = df.approxQuantile("event_time_unix", list(at), 0.001)
+    if len(found) != 2 or found[0] is None:
         raise ValueError("no event times to split by")
     return int(found[0]), int(found[1])
 
@@ -81,6 +89,17 @@ def hash_sample(df: DataFrame, fractions: dict[str, float], seed: int = 42, by:
     return df.where(draw < share)
 
 
+def sampled_union(df: DataFrame, fractions: dict[str, float], seed: int = 42) -> DataFrame:
+    """Stable samples of the splits as a union of one DataFrame each, in the order given: the rows of ``hash_sample``, which reads its input once."""
+    return reduce(DataFrame.unionByName, [hash_sample(df.where(F.col("split") == s), {s: f}, seed) for s, f in fractions.items()])
+
+
+def with_score(base: DataFrame, other: DataFrame, id_col: str = "transaction_id") -> DataFrame:
+    """Inner join of two models' scores (``score`` in each) as ``lr_score`` and ``gbt_score``, for scores that come from different tables; ``two_stage``
+    scores a row by both models in one pass instead."""
+    return base.withColumnRenamed("score", "lr_score").join(other.select(id_col, F.col("score").alias("gbt_score")), id_col)
+
+
 def split_and_sample(df: DataFrame, train: float = 1.0, validation: float = 1.0, test: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
     """``time_split``, and of each split a stable sample."""
     return hash_sample(time_split(df, exact=exact), dict(zip(SPLITS, (train, validation, test), strict=True)), seed)
@@ -97,8 +116,8 @@ def fit(train: DataFrame, model_type: str = "logistic", features: str = "feature
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
     if model_type != "logistic":
-        return GBTClassifier(labelCol="label", featuresCol=features, maxIter=30, maxDepth=5, stepSize=0.1, seed=42).fit(train)
-    options = {"labelCol": "label", "featuresCol": features, "maxIter": 50, "regParam": 0.01, "elasticNetParam": 0.0}
+        return GBTClassifier(labelCol="label", featuresCol=features, **TREES).fit(train)
+    options = {"labelCol": "label", "featuresCol": features, **LOGISTIC}
     if weighted:
         weight = ranking.class_weights(train).first()["positive_weight"]
         train, options["weightCol"] = train.withColumn("class_weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0))), "class_weight"
@@ -207,7 +226,3 @@ def two_stage(model_df: DataFrame, base_columns: Sequence[str], rerank_columns:
     test.unpersist()
     return out
 
-
-def known_features() -> tuple[str, ...]:
-    """All features that a set may name."""
-    return tuple(dict.fromkeys((*GOLD_FEATURES, *[c for s in FEATURE_SETS.values() for c in s])))

@@ -99,16 +99,28 @@ def class_weights(labelled: DataFrame, label: str = "label") -> DataFrame:
     return out.withColumn("positive_weight", F.when(both, F.col("negatives") / F.col("positives")).otherwise(F.lit(1.0)))
 
 
+#: Ranges of scores whose running sums are taken apart.
+RANGES = 256
+
+
 def areas(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: exact areas under the ROC curve and the precision-recall curve (trapezoids over distinct scores, the latter from the first
-    point's precision at recall 0). NULL where a class is absent. Rows are first summed by distinct score; the running sums take
-    one row per distinct score."""
+    point's precision at recall 0). NULL where a class is absent. Rows are first summed by distinct score. Running sums over them are taken
+    within ranges of scores, which a sketch borders, on top of the totals of higher ranges: no task sees all scores."""
+    grid = scored.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 10000).alias("g")).first()["g"]
+    borders = sorted({b for b in grid or ()})
     by_score = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    down = Window.orderBy(F.desc("s"))
+    above = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b >= F.col("s"))) if borders else F.lit(0)
+    by_score = by_score.withColumn("range", above)
+    whole = by_score.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    higher = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
+    whole = whole.select("range", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_higher") for c in "pn"])
+    down = Window.partitionBy("range").orderBy(F.desc("s"))
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = by_score.select("s", "p", "n", F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"))
+    points = by_score.join(F.broadcast(whole), "range").select("range", "s", "p", "n", (F.col("p_higher") + F.sum("p").over(upto)).alias("tp"), (F.col("n_higher") + F.sum("n").over(upto)).alias("fp"))
     points = points.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
-    points = points.withColumn("before", F.coalesce(F.lag("precision").over(down), F.col("precision")))
+    tp0, all0 = F.col("tp") - F.col("p"), F.col("tp") - F.col("p") + F.col("fp") - F.col("n")
+    points = points.withColumn("before", F.when(all0 > 0, tp0 / all0).otherwise(F.col("precision")))
     out = points.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)).alias("u"), F.sum(F.col("p") * (F.col("precision") + F.col("before")) / 2.0).alias("v"))
     return out.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(F.col("P") > 0, F.col("v") / F.col("P")).alias("pr_auc"))
 

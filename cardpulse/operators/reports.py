@@ -1,4 +1,4 @@
-"""Quality and exploration reports over feature tables. Each is one aggregation."""
+"""Quality and exploration reports over feature tables. Each is one aggregation, but for those with exact quantiles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from .quantiles import exact_quantiles
 
 #: Rules that labels should agree with (column, bound, inclusive).
 RULES: dict[str, tuple[str, float, bool]] = {"spike": ("amount_zscore", 3.0, True), "impossible": ("speed_from_prev_kmh", 1000.0, False)}
@@ -36,13 +36,13 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: str, columns: Sequence[str], at: Sequence[float] = (0.5, 0.9), exact: bool = False) -> DataFrame:
-    """Per group of ``by`` the discrete percentiles of each column: by bounded sketches, or exactly with ``exact`` (which sorts a group's distinct values)."""
-    out = []
-    for c in columns:
-        for p in at:
-            name = f"{c}_p{round(100 * p)}"
-            out.append((F.expr(f"percentile_disc({p}) within group (order by `{c}`)") if exact else F.percentile_approx(c, p, 10000)).alias(name))
-    return df.groupBy(by).agg(F.count("*").alias("rows"), *out)
+    """Per group of ``by`` the discrete percentiles of each column: by bounded sketches, or exactly with ``exact`` (see ``exact_quantiles``)."""
+    names = {(c, p): f"{c}_p{round(100 * p)}" for c in columns for p in at}
+    if not exact:
+        return df.groupBy(by).agg(F.count("*").alias("rows"), *[F.percentile_approx(c, p, 10000).alias(n) for (c, p), n in names.items()])
+    found = exact_quantiles(df, list(names), by)
+    schema = f"`{by}` {df.schema[by].dataType.simpleString()}, rows long, " + ", ".join(f"`{n}` double" for n in names.values())
+    return df.sparkSession.createDataFrame([(g, rows, *values) for g, (rows, values) in found.items()], schema)
 
 
 def extremes(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
@@ -60,14 +60,11 @@ def rule_alignment(df: DataFrame, by: str = "anomaly_type", rules: Mapping[str,
 def travel_summary(df: DataFrame, label: str = "impossible_travel") -> DataFrame:
     """One row over the rows of a label: rows, rows with a reference, rows without speed, least, middle (discrete) and greatest speed."""
     speed = "speed_from_prev_kmh"
-    return df.where(F.col("anomaly_type") == label).agg(
-        F.count("*").alias("rows"),
-        F.count("ref_transaction_id").alias("with_ref"),
-        F.count_if(F.col(speed).isNull()).alias("null_speed"),
-        F.min(speed).alias("min_speed"),
-        F.expr(f"percentile_disc(0.5) within group (order by {speed})").alias("median_speed"),
-        F.max(speed).alias("max_speed"),
-    )
+    own = df.where(F.col("anomaly_type") == label).select("ref_transaction_id", speed).persist()
+    _, middle = exact_quantiles(own, [(speed, 0.5)]).get(None, (0, [None]))
+    row = own.agg(F.count("*").alias("rows"), F.count("ref_transaction_id").alias("with_ref"), F.count_if(F.col(speed).isNull()).alias("null_speed"), F.min(speed).alias("min_speed"), F.max(speed).alias("max_speed")).first()
+    own.unpersist()
+    return df.sparkSession.createDataFrame([(row["rows"], row["with_ref"], row["null_speed"], row["min_speed"], middle[0], row["max_speed"])], "rows long, with_ref long, null_speed long, min_speed double, median_speed double, max_speed double")
 
 
 def threshold_sweep(df: DataFrame, column: str, bounds: Sequence[float], by: str = "anomaly_type") -> DataFrame:
@@ -121,9 +118,9 @@ def rate_bins(df: DataFrame, column: str, low: float, high: float, bins: int, la
 
 
 def quantile_clip(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``df`` with the column limited to its discrete ``low`` and ``high`` quantiles (one row, sent to all)."""
-    at = [F.expr(f"percentile_disc({p}) within group (order by `{column}`)").alias(n) for p, n in ((low, "_low"), (high, "_high"))]
-    return df.crossJoin(F.broadcast(df.agg(*at))).withColumn(column, F.greatest("_low", F.least("_high", column))).drop("_low", "_high")
+    """``df`` with the column limited to its discrete ``low`` and ``high`` quantiles."""
+    _, (least, most) = exact_quantiles(df, [(column, low), (column, high)]).get(None, (0, [None, None]))
+    return df.withColumn(column, F.greatest(F.lit(least).cast("double"), F.least(F.lit(most).cast("double"), column)))
 
 
 def outliers(df: DataFrame, column: str, n: int = 20, where: Column | None = None) -> DataFrame:
@@ -143,7 +140,7 @@ def split_summary(df: DataFrame, label: str = "label") -> DataFrame:
     return out.orderBy(F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2))
 
 
-#: Averages of the alert report: column -> decimals.
+#: Averages of the alert report, column -> decimals.
 ALERT_AVERAGES = {"score": 4, "amount": 2, "prior_amount_zscore": 2, "amount_sum_last_1h": 2, "is_night_transaction": 4, "hour_of_day": 2, "merchant_prior_fraud_rate": 4, "tx_count_last_1h": 2}
 
 
@@ -161,7 +158,3 @@ def false_positive_categories(head: DataFrame, n: int = 10, label: str = "label"
 def sample_false_positives(head: DataFrame, n: int = 10, label: str = "label") -> DataFrame:
     """The first ``n`` false positives of a numbered queue."""
     return head.where(F.col(label) == 0).orderBy("position").limit(n)
-
-
-def share_of(part: Column, whole: Column) -> Column:
-    return F.round(ratio(part, whole), 4)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ..operators.reports import SPARSE
-from ..operators.ranking import THRESHOLDS
+from ..operators.modelling import FEATURE_SETS
+from ..operators.ranking import THRESHOLDS, TOP_K
 from ..schema import GOLD_FEATURES
 
-_KS = (10, 50, 100, 500, 1000)
+_SHORTLIST = 5000
 #: Columns in eighths of cents and the like, which six decimals would cut at a tie.
 FINER = {"prior_amount_mean_card_category_shrunk": 9}
 
@@ -143,7 +144,7 @@ MODEL = f"""filled AS (
 derived AS (SELECT *, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, prior_amount_zscore)) AS prior_amount_zscore_clipped, ln(1 + amount_sum_last_1h) AS amount_sum_last_1h_log1p FROM filled),
 model AS (
   SELECT *, prior_amount_zscore_clipped * CAST(low_history_card_category AS DOUBLE) AS amount_zscore_x_lowcat,
-    round((prior_amount_zscore_clipped + 10) / 20, 6) AS score, round(amount_sum_last_1h / (amount_sum_last_1h + 100), 6) AS other_score
+    round((prior_amount_zscore_clipped + 10) / 20, 6) AS score, round(amount_sum_last_1h / (amount_sum_last_1h + 97.31::DOUBLE), 6) AS other_score
   FROM derived
 )"""
 WITH_MODEL = f"{WITH_ROUNDED},\n{MODEL}"
@@ -167,7 +168,7 @@ def _top_k(order: str) -> str:
     return f"""{WITH_MODEL},
 q AS (SELECT *, row_number() OVER (ORDER BY {order}, {_TIES}) AS position FROM model),
 n AS (SELECT sum(CAST(label = 1 AS INTEGER)) AS positives FROM model),
-c AS (SELECT k, count(*) FILTER (position <= k) AS rows, count(*) FILTER (position <= k AND label = 1) AS tp, any_value(positives) AS positives FROM q, n, (VALUES {", ".join(f"({k})" for k in _KS)}) v(k) GROUP BY 1)
+c AS (SELECT k, count(*) FILTER (position <= k) AS rows, count(*) FILTER (position <= k AND label = 1) AS tp, any_value(positives) AS positives FROM q, n, (VALUES {", ".join(f"({k})" for k in TOP_K)}) v(k) GROUP BY 1)
 SELECT CAST(k AS INTEGER) AS k, rows, tp, round(CASE WHEN rows > 0 THEN tp::DOUBLE / rows ELSE 0.0::DOUBLE END, 6) AS precision,
   round(CASE WHEN positives > 0 THEN tp::DOUBLE / positives ELSE 0.0::DOUBLE END, 6) AS recall FROM c"""
 
@@ -175,9 +176,9 @@ SELECT CAST(k AS INTEGER) AS k, rows, tp, round(CASE WHEN rows > 0 THEN tp::DOUB
 def _reranked(key: str) -> str:
     return f"""{WITH_MODEL},
 b AS (SELECT transaction_id, event_time_unix, label, score AS lr_score, other_score AS gbt_score, CAST(row_number() OVER (ORDER BY score DESC, {_TIES}) AS INTEGER) AS baseline_position FROM model),
-h AS (SELECT * FROM b WHERE baseline_position <= 500),
-z AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN baseline_position <= 200 THEN 0 ELSE 1 END, CASE WHEN baseline_position <= 200 THEN {key} END DESC NULLS LAST,
-  CASE WHEN baseline_position > 200 THEN baseline_position END NULLS FIRST, lr_score DESC, {_TIES}) AS INTEGER) AS position FROM h)"""
+h AS (SELECT * FROM b WHERE baseline_position <= {max(TOP_K)}),
+z AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN baseline_position <= {_SHORTLIST} THEN 0 ELSE 1 END, CASE WHEN baseline_position <= {_SHORTLIST} THEN {key} END DESC NULLS LAST,
+  CASE WHEN baseline_position > {_SHORTLIST} THEN baseline_position END NULLS FIRST, lr_score DESC, {_TIES}) AS INTEGER) AS position FROM h)"""
 
 
 def _sparse(by: str, source: str = "gold") -> str:
@@ -192,7 +193,8 @@ def _discrete(columns: tuple[str, ...], at: tuple[float, ...]) -> str:
 
 _CORRELATED = ("amount", "amount_zscore", "prior_amount_zscore", "tx_count_last_24h", "amount_sum_last_24h", "prior_tx_count_card", "is_fraud")
 _PAIRS = [(a, b) for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1 :]]
-_ALERTS = f"{WITH_MODEL},\na AS (SELECT m.*, tx.merchant_category, tx.merchant, CAST(row_number() OVER (ORDER BY score DESC, m.event_time_unix DESC NULLS LAST, m.transaction_id) AS INTEGER) AS position FROM model m JOIN tx USING (transaction_id)), h AS (SELECT * FROM a WHERE position <= 500)"
+def _alerts(k: int) -> str:
+    return f"{WITH_MODEL},\na AS (SELECT m.*, tx.merchant_category, tx.merchant, CAST(row_number() OVER (ORDER BY score DESC, m.event_time_unix DESC NULLS LAST, m.transaction_id) AS INTEGER) AS position FROM model m JOIN tx USING (transaction_id)), h AS (SELECT * FROM a WHERE position <= {k})"
 _NULLABLE = ("merchant", "ref_transaction_id", "time_since_last_tx_minutes", "prior_amount_zscore", "prior_amount_zscore_card_category", "speed_from_prev_kmh", "merchant_prior_fraud_rate")
 _ORDERS = f"""WITH tx AS (
   SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS transaction_id, CAST(o_custkey AS VARCHAR) AS card_id, CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS event_time_unix, o_totalprice AS amount,
@@ -217,6 +219,17 @@ ORACLE_SQL: dict[str, str] = {
     "silver_reject_counts": f"""{WITH_TX}, {DIRTY}, t AS ({_TYPED} dirty) SELECT CASE WHEN card_id IS NULL THEN 'missing_card_id' WHEN amount IS NULL OR isnan(amount) THEN 'missing_amount'
         WHEN amount < 0 THEN 'negative_amount' WHEN NOT latitude BETWEEN -90 AND 90 THEN 'latitude_out_of_range' WHEN NOT longitude BETWEEN -180 AND 180 THEN 'longitude_out_of_range' ELSE 'valid' END AS reason, count(*) AS rows FROM t GROUP BY 1""",
     "missing_columns": f"{WITH_TX} SELECT transaction_id, amount, is_fraud, false AS is_night_transaction, 0.0::DOUBLE AS prior_amount_zscore, 0::BIGINT AS prior_tx_count_card_category, NULL::INTEGER AS hour_of_day, NULL::VARCHAR AS merchant FROM tx",
+    "parquet_round_trip": f"{WITH_TX}, {DIRTY}, t AS ({_TYPED} dirty) SELECT {_CLEAN} FROM t WHERE {_VALID}",
+    "json_round_trip": f"{WITH_TX}, {DIRTY}, t AS ({_TYPED} dirty) SELECT transaction_id, card_id, event_time, amount, merchant_category, latitude, longitude, anomaly_type, ref_transaction_id, merchant, is_fraud FROM t",
+    "bronze_lineage": "SELECT event_id, 'events.parquet' AS source_file, true AS stamped FROM events",
+    "feature_sets": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, '{c}')" for n, s in FEATURE_SETS.items() for k, c in enumerate(s)) + ") v(name, position, feature)",
+    "speed_outlier_list": f"{WITH_ROUNDED} SELECT transaction_id, anomaly_type, speed_from_prev_kmh FROM r ORDER BY speed_from_prev_kmh DESC NULLS LAST, transaction_id LIMIT 20",
+    "score_join": f"{WITH_MODEL} SELECT transaction_id, event_time_unix, label, score AS lr_score, other_score AS gbt_score FROM model",
+    "sample_union": f"""{WITH_MODEL}, q AS (SELECT quantile_disc(event_time_unix, 0.70) AS lo, quantile_disc(event_time_unix, 0.85) AS hi FROM model),
+        s AS (SELECT CASE WHEN event_time_unix <= lo THEN 'train' WHEN event_time_unix <= hi THEN 'validation' ELSE 'test' END AS split FROM model, q)
+        SELECT split, count(*) AS rows, count(*) AS in_union, count(*) AS in_filter FROM s GROUP BY 1""",
+    "csv_round_trip": f"""{WITH_TX} SELECT transaction_id, card_id, event_time, amount, merchant_category, latitude, longitude,
+        CASE WHEN {_N} % 10 <> 0 AND is_fraud = 1 THEN 'fraud' ELSE 'none' END AS anomaly_type, merchant, CASE WHEN {_N} % 10 <> 0 THEN is_fraud END AS is_fraud, customer_latitude, customer_longitude, event_time_unix FROM tx""",
     "benchmark_normalize": f"""{WITH_TX} SELECT transaction_id, card_id, event_time, amount, merchant_category, latitude, longitude,
         CASE WHEN {_N} % 10 <> 0 AND is_fraud = 1 THEN 'fraud' ELSE 'none' END AS anomaly_type, merchant, CASE WHEN {_N} % 10 <> 0 THEN is_fraud END AS is_fraud, customer_latitude, customer_longitude, event_time_unix FROM tx""",
     "calendar_flags": _pick("hour_of_day", "day_of_week", "is_weekend", "is_night_transaction"),
@@ -279,12 +292,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT round(sum(n * (tp - p / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS roc_auc, round(sum(p * (pr + before) / 2.0::DOUBLE) / sum(p)::DOUBLE, 6) AS pr_auc FROM z""",
     "rerank_pure": f"{_reranked('gbt_score')} SELECT * FROM z",
     "rerank_blended": f"{_reranked('gbt_score + 0.5::DOUBLE * lr_score')} SELECT * FROM z",
-    "rerank_invariance": f"{_reranked('gbt_score')} SELECT {', '.join(f'count(*) FILTER ({p} <= {k} AND label = 1) AS {n}_tp_{k}' for k in (200, 500) for p, n in (('baseline_position', 'before'), ('position', 'after')))} FROM z",
-    "final_score_metrics": f"{WITH_MODEL}, b AS (SELECT *, row_number() OVER (ORDER BY score DESC, {_TIES}) AS position FROM model), fs AS (SELECT label, CASE WHEN position <= 200 THEN other_score ELSE score END AS final_score FROM b), {_thresholds('fs', 'final_score', (0.3, 0.5, 0.7))} SELECT * FROM m",
-    "alert_label_summary": f"""{_ALERTS} SELECT label, count(*) AS rows, round(avg(score), 4) AS avg_score, round(avg(amount), 2) AS avg_amount, round(avg(prior_amount_zscore), 2) AS avg_prior_amount_zscore, round(avg(amount_sum_last_1h), 2) AS avg_amount_sum_last_1h,
-        round(avg(CAST(is_night_transaction AS DOUBLE)), 4) AS avg_is_night_transaction, round(avg(hour_of_day), 2) AS avg_hour_of_day, round(avg(merchant_prior_fraud_rate), 4) AS avg_merchant_prior_fraud_rate, round(avg(tx_count_last_1h), 2) AS avg_tx_count_last_1h FROM h GROUP BY 1""",
-    "alert_fp_categories": f"{_ALERTS}, c AS (SELECT merchant_category, count(*) AS rows, round(avg(score), 4) AS avg_score, round(avg(amount), 2) AS avg_amount FROM h WHERE label = 0 GROUP BY 1) SELECT * FROM c ORDER BY rows DESC, avg_score DESC, merchant_category LIMIT 10",
-    "alert_fp_sample": f"{_ALERTS} SELECT transaction_id, merchant_category, merchant, score, amount, position FROM h WHERE label = 0 ORDER BY position LIMIT 10",
+    "rerank_invariance": f"{_reranked('gbt_score')} SELECT {', '.join(f'count(*) FILTER ({p} <= {k} AND label = 1) AS {n}_tp_{k}' for k in (_SHORTLIST, max(TOP_K)) for p, n in (('baseline_position', 'before'), ('position', 'after')))} FROM z",
+    "final_score_metrics": f"{WITH_MODEL}, b AS (SELECT *, row_number() OVER (ORDER BY score DESC, {_TIES}) AS position FROM model), fs AS (SELECT label, CASE WHEN position <= {_SHORTLIST} THEN other_score ELSE score END AS final_score FROM b), {_thresholds('fs', 'final_score', (0.3, 0.5, 0.7))} SELECT * FROM m",
     "min_gap_shift": f"""{WITH_TX}, o AS (SELECT transaction_id, card_id, event_time_unix AS t, row_number() OVER (PARTITION BY card_id ORDER BY event_time_unix, transaction_id) - 1 AS i FROM tx)
         SELECT transaction_id, card_id, CAST(max(t - i * 21600) OVER (PARTITION BY card_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + i * 21600 AS BIGINT) AS t FROM o""",
 }
+
+for k, suffix in ((100, ""), (5000, "_5000")):
+    ORACLE_SQL |= {
+        "alert_label_summary" + suffix: f"""{_alerts(k)} SELECT label, count(*) AS rows, round(avg(score), 4) AS avg_score, round(avg(amount), 2) AS avg_amount, round(avg(prior_amount_zscore), 2) AS avg_prior_amount_zscore, round(avg(amount_sum_last_1h), 2) AS avg_amount_sum_last_1h,
+            round(avg(CAST(is_night_transaction AS DOUBLE)), 4) AS avg_is_night_transaction, round(avg(hour_of_day), 2) AS avg_hour_of_day, round(avg(merchant_prior_fraud_rate), 4) AS avg_merchant_prior_fraud_rate, round(avg(tx_count_last_1h), 2) AS avg_tx_count_last_1h FROM h GROUP BY 1""",
+        "alert_fp_categories" + suffix: f"{_alerts(k)}, c AS (SELECT merchant_category, count(*) AS rows, round(avg(score), 4) AS avg_score, round(avg(amount), 2) AS avg_amount FROM h WHERE label = 0 GROUP BY 1) SELECT * FROM c ORDER BY rows DESC, avg_score DESC, merchant_category LIMIT 10",
+        "alert_fp_sample" + suffix: f"{_alerts(k)} SELECT transaction_id, merchant_category, merchant, score, amount, position FROM h WHERE label = 0 ORDER BY position LIMIT 10",
+    }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +17,16 @@ from ..operators.clean import add_missing, clean, reject_counts, typed, valid
 from ..schema import GOLD_FEATURES, gold_type
 from ..session import pin_utc
 from ..sources.adapters import from_benchmark, from_events, from_orders
-from ..sources.files import rows_frame, with_lineage
+from ..sources.files import read_benchmark_csv, read_json, rows_frame, with_lineage, write_json, write_parquet
 from ..streaming.velocity import velocity
 from .features import feature_table
 from .oracle import FINER
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Columns that the model's queries score by, and the K and thresholds they report.
-KS = (10, 50, 100, 500, 1000)
+#: The K that the model's queries report, and the shortlist that they rerank.
+KS = ranking.TOP_K
+SHORTLIST = 5000
 
 
 def query(function: Query) -> Query:
@@ -113,15 +118,61 @@ def missing_columns(spark, sf_dir):
     return modelling.fill_defaults(add_missing(df, {c: gold_type(c) for c in wanted}, false_flags=True), ("prior_amount_zscore", "prior_tx_count_card_category"))
 
 
-@query
-def benchmark_normalize(spark, sf_dir):
+def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as the labelled CSV source has them: text."""
     tx = transactions(spark, sf_dir)
-    text = tx.select(
+    return tx.select(
         F.col("transaction_id").alias("trans_num"), F.col("card_id").alias("cc_num"), F.concat(F.substring("event_time", 1, 10), F.lit(" "), F.substring("event_time", 12, 8)).alias("trans_date_trans_time"),
         F.col("amount").cast("string").alias("amt"), F.col("merchant_category").alias("category"), F.col("latitude").cast("string").alias("merch_lat"), F.col("longitude").cast("string").alias("merch_long"),
         F.when(F.col("transaction_id").cast("long") % 10 != 0, F.col("is_fraud").cast("string")).alias("is_fraud"), "merchant", F.col("customer_latitude").cast("string").alias("lat"), F.col("customer_longitude").cast("string").alias("long"),
     )
-    return from_benchmark(text).drop("ref_transaction_id")
+
+
+@query
+def benchmark_normalize(spark, sf_dir):
+    return from_benchmark(labelled_text(spark, sf_dir)).drop("ref_transaction_id")
+
+
+def _folder(name: str) -> str:
+    """A new folder for a round trip through files, gone with this process."""
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder}/out"
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A folder for a round trip through files that all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}" if named else f"file://{_folder(name)}"
+
+
+_RAW = ("transaction_id", "card_id", "event_time", "amount", "merchant_category", "latitude", "longitude", "anomaly_type", "ref_transaction_id", "merchant", "is_fraud")
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    """Raw JSON lines, written, appended to and read by pattern, then typed."""
+    path, df = _shared(spark, "json"), dirty(spark, sf_dir).select(*_RAW)
+    even = F.col("transaction_id").cast("long") % 2 == 0
+    write_json(df.where(even), path)
+    write_json(df.where(~even), path, "append")
+    return typed(read_json(spark, path, "*.json").select(*_RAW)).select(*_RAW)
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """The labelled source as a CSV with a header, read back and mapped to canonical transactions."""
+    path = _shared(spark, "csv")
+    labelled_text(spark, sf_dir).write.option("header", True).csv(path)
+    return from_benchmark(read_benchmark_csv(spark, path)).drop("ref_transaction_id")
+
+
+@query
+def parquet_round_trip(spark, sf_dir):
+    """The cleaned layer as Parquet, rebalanced by card and partitioned by label, overwritten once."""
+    path, df = _shared(spark, "parquet"), valid(typed(dirty(spark, sf_dir))).select(*_CLEAN)
+    write_parquet(df.limit(10), path)
+    return write_parquet(df, path, "overwrite", rebalance=("card_id",), partition_by=("anomaly_type",)).select(*_CLEAN)
 
 
 @query
@@ -320,13 +371,18 @@ def outlier_list(spark, sf_dir):
     return reports.outliers(df, "prior_amount_zscore", 20, F.col("is_fraud") == 0)
 
 
+@query
+def speed_outlier_list(spark, sf_dir):
+    return reports.outliers(pick(spark, sf_dir, "anomaly_type", "speed_from_prev_kmh"), "speed_from_prev_kmh")
+
+
 # model frames and alert queues
 
 
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model frame with two scores that follow from features alone, so that every engine has the same."""
     df = modelling.model_frame(rounded(gold(spark, sf_dir)))
-    return df.withColumns({"score": F.round((F.col("prior_amount_zscore_clipped") + 10) / 20, 6), "other_score": F.round(F.col("amount_sum_last_1h") / (F.col("amount_sum_last_1h") + 100), 6)})
+    return df.withColumns({"score": F.round((F.col("prior_amount_zscore_clipped") + 10) / 20, 6), "other_score": F.round(F.col("amount_sum_last_1h") / (F.col("amount_sum_last_1h") + 97.31), 6)})
 
 
 @query
@@ -336,12 +392,27 @@ def model_frame(spark, sf_dir):
 
 @query
 def time_split_summary(spark, sf_dir):
-    return reports.split_summary(modelling.time_split(model(spark, sf_dir).cache(), exact=True))
+    return reports.split_summary(modelling.time_split(model(spark, sf_dir), exact=True))
 
 
 @query
 def split_sample(spark, sf_dir):
-    return modelling.split_and_sample(model(spark, sf_dir).cache(), 0.5, 1.0, 0.25).groupBy("split").agg(F.count("*").alias("rows"))
+    return modelling.split_and_sample(model(spark, sf_dir), 0.5, 1.0, 0.25).groupBy("split").agg(F.count("*").alias("rows"))
+
+
+@query
+def sample_union(spark, sf_dir):
+    """Whole splits by two ways: the union of a sample of each, and one filter; how many rows either has and both share."""
+    df, whole = modelling.time_split(model(spark, sf_dir), exact=True), dict.fromkeys(modelling.SPLITS, 1.0)
+    one, two = modelling.sampled_union(df, whole), modelling.hash_sample(df, whole).select(F.col("transaction_id").alias("id"))
+    return one.join(two, F.col("transaction_id") == F.col("id"), "full").groupBy("split").agg(F.count("*").alias("rows"), F.count("transaction_id").alias("in_union"), F.count("id").alias("in_filter"))
+
+
+@query
+def score_join(spark, sf_dir):
+    df = model(spark, sf_dir)
+    joined = modelling.with_score(df.select("transaction_id", "event_time_unix", "label", "score"), df.select("transaction_id", F.col("other_score").alias("score")))
+    return joined.select("transaction_id", "event_time_unix", "label", "lr_score", "gbt_score")
 
 
 @query
@@ -397,7 +468,7 @@ def ranking_areas(spark, sf_dir):
 
 def reranked(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     df = model(spark, sf_dir).select("transaction_id", "event_time_unix", "label", F.col("score").alias("lr_score"), F.col("other_score").alias("gbt_score"))
-    return ranking.rerank(df, 500, 200, mode, 0.5)
+    return ranking.rerank(df, max(KS), SHORTLIST, mode, 0.5)
 
 
 @query
@@ -413,19 +484,23 @@ def rerank_blended(spark, sf_dir):
 @query
 def rerank_invariance(spark, sf_dir):
     df = reranked(spark, sf_dir, "pure")
-    counts = [F.count_if((F.col(p) <= k) & (F.col("label") == 1)).alias(f"{n}_tp_{k}") for k in (200, 500) for p, n in (("baseline_position", "before"), ("position", "after"))]
+    counts = [F.count_if((F.col(p) <= k) & (F.col("label") == 1)).alias(f"{n}_tp_{k}") for k in (SHORTLIST, max(KS)) for p, n in (("baseline_position", "before"), ("position", "after"))]
     return df.agg(*counts)
 
 
 @query
 def final_score_metrics(spark, sf_dir):
     df = model(spark, sf_dir).select("transaction_id", "event_time_unix", "label", F.col("score").alias("lr_score"), F.col("other_score").alias("gbt_score"))
-    return rounded(ranking.threshold_table(ranking.final_scores(df, 500, 200).withColumn("score", F.col("final_score")), (0.3, 0.5, 0.7)))
+    return rounded(ranking.threshold_table(ranking.final_scores(df, max(KS), SHORTLIST).withColumn("score", F.col("final_score")), (0.3, 0.5, 0.7)))
+
 
+#: The lengths of the queue's head that are looked into.
+ALERTS = (100, 5000)
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def alerts(spark: SparkSession, sf_dir: str, k: int = ALERTS[0]) -> DataFrame:
     extra = transactions(spark, sf_dir).select("transaction_id", "merchant_category", "merchant")
-    head = ranking.queue_head(model(spark, sf_dir), 500)
+    head = ranking.queue_head(model(spark, sf_dir), k)
     return extra.join(F.broadcast(head), "transaction_id")
 
 
@@ -434,18 +509,35 @@ def alert_label_summary(spark, sf_dir):
     return reports.alert_summary(alerts(spark, sf_dir))
 
 
+@query
+def alert_label_summary_5000(spark, sf_dir):
+    return reports.alert_summary(alerts(spark, sf_dir, ALERTS[1]))
+
+
 @query
 def alert_fp_categories(spark, sf_dir):
     return reports.false_positive_categories(alerts(spark, sf_dir))
 
 
+@query
+def alert_fp_categories_5000(spark, sf_dir):
+    return reports.false_positive_categories(alerts(spark, sf_dir, ALERTS[1]))
+
+
 @query
 def alert_fp_sample(spark, sf_dir):
     return rounded(reports.sample_false_positives(alerts(spark, sf_dir)).select("transaction_id", "merchant_category", "merchant", "score", "amount", "position"))
 
 
+@query
+def alert_fp_sample_5000(spark, sf_dir):
+    return rounded(reports.sample_false_positives(alerts(spark, sf_dir, ALERTS[1])).select("transaction_id", "merchant_category", "merchant", "score", "amount", "position"))
+
+
 def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modelling.time_split(modelling.model_frame(gold(spark, sf_dir)).cache(), exact=True).cache()
+    """The model frame with its splits, written once: every fit and score reads it."""
+    path = _shared(spark, "model")
+    return modelling.time_split(write_parquet(modelling.model_frame(gold(spark, sf_dir)), path), exact=True).cache()
 
 
 def _report(spark: SparkSession, report: dict, ks: str) -> DataFrame:
@@ -455,23 +547,33 @@ def _report(spark: SparkSession, report: dict, ks: str) -> DataFrame:
 
 @query
 def lr_eval(spark, sf_dir):
-    return _report(spark, modelling.evaluate(_trained(spark, sf_dir), modelling.FEATURE_SETS["amount_plus_night"], ks=KS), "")
+    df = _trained(spark, sf_dir)
+    report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], ks=KS)
+    df.unpersist()
+    return _report(spark, report, "")
 
 
 @query
 def gbt_eval(spark, sf_dir):
-    return _report(spark, modelling.evaluate(_trained(spark, sf_dir), modelling.FEATURE_SETS["amount_plus_night"], "gbt", ks=KS), "")
+    df = _trained(spark, sf_dir)
+    report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], "gbt", ks=KS)
+    df.unpersist()
+    return _report(spark, report, "")
 
 
 @query
 def gate_sweep(spark, sf_dir):
-    rows = modelling.gate_sweep(_trained(spark, sf_dir), (3, 5), primary=100, tie=500, sanity=10)
+    df = _trained(spark, sf_dir)
+    rows = modelling.gate_sweep(df, (3, 5))
+    df.unpersist()
     return rows_frame(spark, rows, "variant string, k int, p_primary double, p_tie double, p_sanity double")
 
 
 @query
 def two_stage_eval(spark, sf_dir):
-    report = modelling.two_stage(_trained(spark, sf_dir), modelling.FEATURE_SETS["amount_plus_night"], modelling.FEATURE_SETS["amount_plus_night_catz_v3_shrunk"], 200, ks=KS, full=True)
+    df = _trained(spark, sf_dir)
+    report = modelling.two_stage(df, modelling.FEATURE_SETS["amount_plus_night"], modelling.FEATURE_SETS["amount_plus_night_catz_v3_shrunk"], SHORTLIST, ks=KS, full=True)
+    df.unpersist()
     rows = [{"queue": q, **{c: r[c] for c in ("k", "rows", "tp")}} for q in ("baseline", "reranked") for r in report[f"{q}_top_k_rows"]]
     return rows_frame(spark, rows, "queue string, k int, rows long, tp long")
 
@@ -488,5 +590,5 @@ def min_gap_shift(spark, sf_dir):
 @query
 def synthetic_rules(spark, sf_dir):
     pin_utc(spark)
-    df = synth.generate(spark, synth.GeneratorConfig(num_transactions=5000, num_cards=200, anomaly_ratio=0.04))
+    df = synth.generate(spark, synth.GeneratorConfig())
     return reports.rule_alignment(feature_table(typed(df)))

@@ -7,6 +7,7 @@ labelled: spending spikes by amount, impossible travel by an extra row far from,
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
@@ -135,15 +136,17 @@ def _travel(spark: SparkSession, df: DataFrame, c: GeneratorConfig, n: int) -> D
     )
 
 
-def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Raw JSON lines in event-time order within files; NULL references are left out."""
+def write_raw(df: DataFrame, path: str, mode: str = "overwrite", run_id: str | None = None) -> str:
+    """Raw JSON lines in event-time order within files; NULL references are left out. To append is to write a folder of its own, named by ``run_id`` (by
+    default a new one), beside those that are there; readers see all of them. Returns the folder that was written."""
     if mode not in ("overwrite", "append"):
         raise ValueError(f"a write mode is overwrite or append, not {mode!r}")
-    df.repartitionByRange("event_time").sortWithinPartitions("event_time", "transaction_id").write.mode(mode).json(path)
+    target = path if mode == "overwrite" else f"{path.rstrip('/')}/run_id={run_id or uuid.uuid4().hex}"
+    df.repartitionByRange("event_time").sortWithinPartitions("event_time", "transaction_id").write.mode("overwrite" if mode == "overwrite" else "error").json(target)
+    return target
 
 
 def run(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
     """Generate and write; returns the generated rows as written."""
     df = generate(spark, config)
-    write_raw(df, config.output_path, config.raw_write_mode)
-    return spark.read.schema(df.schema).json(config.output_path)
+    return spark.read.schema(df.schema).json(write_raw(df, config.output_path, config.raw_write_mode))

@@ -1,8 +1,10 @@
 """Alert queues, metrics and models."""
 
+import random
+
 import pytest
 
-from cardpulse.operators import modelling, ranking, reports
+from cardpulse.operators import modelling, quantiles, ranking, reports
 from cardpulse.plans.queries import model, query
 
 
@@ -51,6 +53,47 @@ def test_areas_by_hand(spark):
     assert row["pr_auc"] == pytest.approx(0.5 * 1 + 0.5 * (1 + 2 / 3) / 2)
 
 
+def test_areas_over_many_ranges(spark, monkeypatch):
+    """Running sums in ranges of scores equal those over all scores, and no window takes all rows to one task."""
+    monkeypatch.setattr(ranking, "RANGES", 16)
+    rng = random.Random(3)
+    rows = [(int(rng.random() < 0.3), round(rng.random() ** 3, 3)) for _ in range(3000)] + [(1, 0.5)] * 50
+    df = scores(spark, rows)
+    points, tp, fp = [], 0, 0
+    for s in sorted({s for _, s in rows}, reverse=True):
+        p, n = sum(y for y, t in rows if t == s), sum(1 - y for y, t in rows if t == s)
+        tp, fp = tp + p, fp + n
+        points.append((p, n, tp, tp / (tp + fp)))
+    whole = sum(y for y, _ in rows)
+    roc = sum(n * (t - p / 2) for p, n, t, _ in points) / (whole * (len(rows) - whole))
+    pr = sum(p * (a[3] + b[3]) / 2 for (p, *_), a, b in zip(points, points, [points[0], *points], strict=False)) / whole
+    got = ranking.areas(df).first()
+    assert (got["roc_auc"], got["pr_auc"]) == (pytest.approx(roc), pytest.approx(pr))
+    plan = ranking.areas(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 4  # the sums at the end, the sketch, and the window over ranges
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice((None, rng.gauss(0, 1), 7.0, rng.randint(0, 50) / 4))) for _ in range(4000)] + [(None, 1.0), ("c", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = [("v", p) for p in (0.01, 0.1, 0.25, 0.5, 0.9, 1.0)]
+    for most in (quantiles.MOST, 40):
+        got = quantiles.exact_quantiles(df, wanted, "g", most)
+        assert got.keys() == {"a", "b", "c", None, "d"}
+        for g, (n, values) in got.items():
+            own = sorted(v for x, v in rows if x == g and v is not None)
+            assert n == sum(x == g for x, _ in rows)
+            if g == "d":
+                assert all(v != v for v in values)
+            else:
+                assert values == [own[quantiles.rank(p, len(own)) - 1] if own else None for _, p in wanted]
+    everything = sorted(v for x, v in rows if v is not None and v == v)
+    assert quantiles.exact_quantiles(df.where("NOT isnan(v)"), [("v", 0.5)], most=100)[None][1] == [everything[quantiles.rank(0.5, len(everything)) - 1]]
+    assert quantiles.exact_quantiles(df.where("false"), wanted, "g") == {}
+    assert (quantiles.rank(0.1, 30), quantiles.rank(0.5, 1), quantiles.rank(0.0, 5), quantiles.rank(0.7, 10)) == (3, 1, 1, 7)
+
+
 @pytest.mark.parametrize("mode", ["pure", "blended"])
 def test_rerank_keeps_the_shortlist_a_set(spark, mode):
     df = scores(spark, [(k % 3 == 0, (k * 7 % 20) / 20) for k in range(20)]).selectExpr("transaction_id", "event_time_unix", "label", "score AS lr_score", "1 - score AS gbt_score")

@@ -63,6 +63,42 @@ def test_generator_writes_and_loads(spark, tmp_path):
         synth.generate(spark, synth.GeneratorConfig(num_transactions=0))
 
 
+def test_appended_runs_stand_side_by_side(spark, tmp_path):
+    config = synth.GeneratorConfig(num_transactions=5, num_cards=2, anomaly_ratio=0.0, output_path=str(tmp_path / "raw"), raw_write_mode="append")
+    df = synth.generate(spark, config)
+    assert synth.write_raw(df, config.output_path, "append", "first").endswith("raw/run_id=first")
+    assert synth.run(spark, config).count() == 5
+    assert spark.read.json(config.output_path).count() == 10
+    with pytest.raises(Exception, match="(?i)exists"):
+        synth.write_raw(df, config.output_path, "append", "first")
+
+
+def test_commands_run(spark, tmp_path, capsys):
+    """The command line from generated rows to the reports, on a small table."""
+    (tmp_path / "g.yaml").write_text(f"num_transactions: 1500\nnum_cards: 40\nanomaly_ratio: 0.2\noutput_path: {tmp_path}/raw\n")
+    (tmp_path / "p.yaml").write_text(f"raw: {tmp_path}/raw\nbronze: {tmp_path}/bronze\nsilver: {tmp_path}/silver\ngold: {tmp_path}/gold\n")
+    assert cli.main(["generate", "--config", str(tmp_path / "g.yaml")]) == 0
+    gold = str(tmp_path / "labelled")
+    df = feature_table(clean(typed(spark.read.json(f"{tmp_path}/raw"))), slice_merchants=True)
+    df.withColumn("is_fraud", (F.col("anomaly_type") != "none").cast("int")).write.parquet(gold)
+    assert cli.main(["evaluate", "--gold", gold, "--feature-set", "amount_only"]) == 0
+    assert cli.main(["inspect", "--gold", gold]) == 0
+    assert cli.main(["time", "--gold", gold, "--scales", "0.5", "--output-json", str(tmp_path / "t.json"), "--output-csv", str(tmp_path / "t.csv")]) == 0
+    assert json.loads((tmp_path / "t.json").read_text())["runs"][0]["scale"] == 0.5
+    assert len((tmp_path / "t.csv").read_text().splitlines()) == 2
+    out = capsys.readouterr().out
+    assert "test_pr_auc" in out
+    assert "first 5000 alerts" in out
+
+
+def test_package_exports(spark):
+    import cardpulse
+
+    assert all(callable(getattr(cardpulse, n)) for n in cardpulse.__all__)
+    with pytest.raises(AttributeError):
+        cardpulse.nothing  # noqa: B018
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = synth.generate(spark, synth.GeneratorConfig(num_transactions=200, num_cards=10))
     synth.write_raw(df, str(tmp_path / "raw"))
