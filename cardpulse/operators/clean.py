@@ -61,11 +61,14 @@ def reject_counts(df: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame) -> DataFrame:
     """One row of each content (CONTENT, NULLs alike): the one with the smallest transaction id, then the smallest other columns, whatever the partitioning.
 
-    An aggregate of the smallest row per content, so that copies meet pre-aggregated and a hot content is no hot group.
+    An aggregate of the smallest row per content, so that copies meet pre-aggregated and a hot content is no hot group. Contents meet by a 128-bit hash
+    (of which columns are NULL, and of their values), so that what is sorted and compared is two numbers.
     """
     rest = ["transaction_id", *[c for c in df.columns if c not in CONTENT and c != "transaction_id"]]
-    smallest = F.min(F.struct(*rest)).alias("_row")
-    return df.groupBy(*CONTENT).agg(smallest).select(*[F.col(c) if c in CONTENT else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    values = [F.col(c) + F.lit(0.0) if df.schema[c].dataType.typeName() == "double" else F.col(c) for c in CONTENT]  # -0.0 is 0.0
+    keys = [F.xxhash64(F.lit(salt), *[F.col(c).isNull() for c in CONTENT], *values).alias(f"_key{salt}") for salt in (0, 1)]
+    smallest = F.min(F.struct(*rest, *CONTENT)).alias("_row")
+    return df.groupBy(*keys).agg(smallest).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ MODEL = f"""filled AS (
 derived AS (SELECT *, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, prior_amount_zscore)) AS prior_amount_zscore_clipped, ln(1 + amount_sum_last_1h) AS amount_sum_last_1h_log1p FROM filled),
 model AS (
   SELECT *, prior_amount_zscore_clipped * CAST(low_history_card_category AS DOUBLE) AS amount_zscore_x_lowcat,
-    round((prior_amount_zscore_clipped + 10) / 20, 6) AS score, round(amount_sum_last_1h / (amount_sum_last_1h + 97.31::DOUBLE), 6) AS other_score
+    round((prior_amount_zscore_clipped + 10) / 20.37::DOUBLE, 6) AS score, round(amount_sum_last_1h / (amount_sum_last_1h + 97.31::DOUBLE), 6) AS other_score
   FROM derived
 )"""
 WITH_MODEL = f"{WITH_ROUNDED},\n{MODEL}"

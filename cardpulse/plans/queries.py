@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -382,7 +383,7 @@ def speed_outlier_list(spark, sf_dir):
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model frame with two scores that follow from features alone, so that every engine has the same."""
     df = modelling.model_frame(rounded(gold(spark, sf_dir)))
-    return df.withColumns({"score": F.round((F.col("prior_amount_zscore_clipped") + 10) / 20, 6), "other_score": F.round(F.col("amount_sum_last_1h") / (F.col("amount_sum_last_1h") + 97.31), 6)})
+    return df.withColumns({"score": F.round((F.col("prior_amount_zscore_clipped") + 10) / 20.37, 6), "other_score": F.round(F.col("amount_sum_last_1h") / (F.col("amount_sum_last_1h") + 97.31), 6)})
 
 
 @query
@@ -534,10 +535,14 @@ def alert_fp_sample_5000(spark, sf_dir):
     return rounded(reports.sample_false_positives(alerts(spark, sf_dir, ALERTS[1])).select("transaction_id", "merchant_category", "merchant", "score", "amount", "position"))
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model frame with its splits, written once: every fit and score reads it."""
-    path = _shared(spark, "model")
-    return modelling.time_split(write_parquet(modelling.model_frame(gold(spark, sf_dir)), path), exact=True).cache()
+@contextmanager
+def _trained(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The model frame with its splits, cached for as long as models are fitted and scored."""
+    base = modelling.model_frame(gold(spark, sf_dir)).cache()
+    try:
+        yield modelling.time_split(base, exact=True)
+    finally:
+        base.unpersist()
 
 
 def _report(spark: SparkSession, report: dict, ks: str) -> DataFrame:
@@ -547,33 +552,29 @@ def _report(spark: SparkSession, report: dict, ks: str) -> DataFrame:
 
 @query
 def lr_eval(spark, sf_dir):
-    df = _trained(spark, sf_dir)
-    report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], ks=KS)
-    df.unpersist()
+    with _trained(spark, sf_dir) as df:
+        report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], ks=KS)
     return _report(spark, report, "")
 
 
 @query
 def gbt_eval(spark, sf_dir):
-    df = _trained(spark, sf_dir)
-    report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], "gbt", ks=KS)
-    df.unpersist()
+    with _trained(spark, sf_dir) as df:
+        report = modelling.evaluate(df, modelling.FEATURE_SETS["amount_plus_night"], "gbt", ks=KS)
     return _report(spark, report, "")
 
 
 @query
 def gate_sweep(spark, sf_dir):
-    df = _trained(spark, sf_dir)
-    rows = modelling.gate_sweep(df, (3, 5))
-    df.unpersist()
+    with _trained(spark, sf_dir) as df:
+        rows = modelling.gate_sweep(df, (3, 5))
     return rows_frame(spark, rows, "variant string, k int, p_primary double, p_tie double, p_sanity double")
 
 
 @query
 def two_stage_eval(spark, sf_dir):
-    df = _trained(spark, sf_dir)
-    report = modelling.two_stage(df, modelling.FEATURE_SETS["amount_plus_night"], modelling.FEATURE_SETS["amount_plus_night_catz_v3_shrunk"], SHORTLIST, ks=KS, full=True)
-    df.unpersist()
+    with _trained(spark, sf_dir) as df:
+        report = modelling.two_stage(df, modelling.FEATURE_SETS["amount_plus_night"], modelling.FEATURE_SETS["amount_plus_night_catz_v3_shrunk"], SHORTLIST, ks=KS, full=True)
     rows = [{"queue": q, **{c: r[c] for c in ("k", "rows", "tp")}} for q in ("baseline", "reranked") for r in report[f"{q}_top_k_rows"]]
     return rows_frame(spark, rows, "queue string, k int, rows long, tp long")
 
