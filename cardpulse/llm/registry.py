@@ -108,6 +108,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that patterns alone decide, and SQL can state."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+QUERIES["pii_base_spans"] = pii_base_spans
+
+_UPPER, _LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_BASE_MATCHES = " UNION ALL ".join(f"SELECT u, '{k}' AS kind, {n} AS place, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d" for n, (k, p) in enumerate(_BASE_PATTERNS.items()))
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(digits[length(digits) - k + 1] AS INT) ELSE CAST(digits[length(digits) - k + 1] AS INT) * 2 - CASE WHEN CAST(digits[length(digits) - k + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
 _SPACE_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,6 +133,32 @@ _PHRASE_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x
 _NEAR_TERMS = " AND ".join(f"(len(t) < {k + 1} OR list_contains(ws[greatest(b + {k} - 2, 1) : b + {k} + 2], t[{k + 1}]))" for k in range(PHRASE_WORDS))
 
 ORACLE_SQL: dict[str, str] = {
+    "pii_base_spans": f"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
+        x AS ({_BASE_MATCHES}),
+        y AS (SELECT u, kind, place, m[i] AS found, CAST(sum(length(s[i]) + length(m[i])) OVER (PARTITION BY u, kind ORDER BY i) AS BIGINT) AS past FROM x, unnest(range(1, len(m) + 1)) g(i)),
+        z AS (SELECT *, regexp_replace(found, '[^0-9]', '', 'g') AS digits, past - length(found) AS start FROM y),
+        v AS (
+            SELECT * FROM z WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(found, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT), 256) > 255)) = 0
+                WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND {_LUHN} WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15 ELSE true END
+        ), a AS (
+            SELECT u, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE_PATTERNS)}, string_agg(kind || ':' || start || ':' || past, ',' ORDER BY place, start) AS spans FROM v GROUP BY u
+        )
+        SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _BASE_PATTERNS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a USING (u)
+    """,
+    # for pages without links between hosts, as those of the test tables; with links a test compares the scores with a plain page rank
+    "op8_url_filters": f"""
+        WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER_LETTERS}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in URL_RULES)}) v(rule_host, rule_path, allows)),
+        m AS (SELECT h.*, (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule FROM h),
+        j AS (SELECT m.*, r.allows FROM m LEFT JOIN r ON rule_host || rule_path = rule),
+        n AS (SELECT host, allows, count(*) AS n, sum(count(*)) OVER (PARTITION BY allows) AS total FROM j WHERE rule IS NOT NULL GROUP BY host, allows),
+        s AS (SELECT host, coalesce(sum(n / total * 0.15000000000000002::DOUBLE) FILTER (allows), 0) AS trust, coalesce(sum(n / total * 0.15000000000000002::DOUBLE) FILTER (NOT allows), 0) AS distrust FROM n GROUP BY host)
+        SELECT page_id, host, path, rule, CASE WHEN CASE WHEN rule IS NULL THEN coalesce(distrust, 0) <= coalesce(trust, 0) ELSE allows END THEN 'allow' ELSE 'block' END AS verdict,
+            coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust
+        FROM j LEFT JOIN s USING (host)
+    """,
     "op2_minhash_near_dedup": f"""
         WITH RECURSIVE w AS (
             SELECT row_number() OVER () AS u, doc_id, {_SPACE_WORDS.replace("text", _LOWER)} AS ws FROM documents

@@ -348,6 +348,27 @@ def test_proximity_against_brute_force(spark, parts):
     assert {r["doc_id"]: (r["items"], r["near"]) for r in df.collect()} == want
 
 
+def test_long_texts_are_read_whole(spark):
+    """200,000 words (1.3 MB) that differ from a copy in the last ones only, beside short texts."""
+    from cardpulse.llm import packing, quality, registry, toxicity
+
+    words = [f"w{k * 7919 % 100003}" for k in range(200000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "short text of a few words"), (4, " ".join(words[150000:150060]))]
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4}
+    left = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(frame(spark, rows), 50).collect()}
+    assert left == {1: (200000, 0), 2: (200000, 199999), 3: (6, 0), 4: (60, 60)}
+    pieces = packing.pack(frame(spark, rows).withColumn("source", F.lit("s")), registry.tokenizer_path()).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 1) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 1) > 200000
+    texts = pa.array([rows[0][1], "w1 w2"])
+    number = np.zeros(quality.BUCKETS, np.float32)
+    number[quality._bucket(textkit.Words(*textkit.column_bytes(pa.array([words[-1]])), textkit.separators("space"), False).hash, 1)] = 1
+    assert quality.logits(texts, number, 0.0)[0] > 0  # the last word counts
+    weight = np.zeros(toxicity.BUCKETS, np.float32)
+    weight[toxicity._bucket(toxicity._words([words[-1]]).hash, 0)] = 1
+    assert toxicity.logits(texts, weight, 0.0)[0] >= 1
+
+
 def test_without(spark, monkeypatch):
     from cardpulse.llm import store
 
