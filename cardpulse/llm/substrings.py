@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +154,7 @@ def _second_scan(size: int, wanted, copies):
                 raw = data.tobytes()
                 digests = [_EMPTY if w else hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for w, x, y in zip(whole.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 removed = pa.array(np.where(whole, count, 0).astype(np.int64), mask=open_)
-                held = pc.if_else(pa.array(open_), own, pa.scalar(None, pa.string()))
+                held = own.take(pa.array(np.arange(rows), mask=~open_))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + rows)), ids, batch.column(2).slice(a, rows), pa.array(count.astype(np.int64)), removed, pa.array(digests, pa.string()), held], schema=schema)
                 uid += rows
 
