@@ -228,8 +228,8 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, slop: int = 2, it
         passes = max(1, -(-chars // PASS_CHARS))
         parts = []
         for k in range(passes):
-            own = (test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else test).toPandas()
-            sent = spark.sparkContext.broadcast(Phrases(own["item"].tolist(), own["text"].tolist(), size))
+            own = (test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else test).toArrow()
+            sent = spark.sparkContext.broadcast(Phrases(own["item"].to_pylist(), own["text"].to_pylist(), size))
             found = map_arrow(index, _search(sent, slop), _HITS)
             if passes == 1:
                 return durable(spark, found)

@@ -239,7 +239,7 @@ def pack_shard(lengths: list[int], source: list[int], share: np.ndarray, deficit
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _pack(window: int, itemsize: int, ids_too: bool):
+def _pack(window: int, ids_too: bool):
     """Rows sorted by shard, a shard's source rows (ids null; share and deficit set) first -> pieces."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string())]
     schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if ids_too else fields)
@@ -251,7 +251,7 @@ def _pack(window: int, itemsize: int, ids_too: bool):
             names = list(sources)
             place = {name: k for k, name in enumerate(names)}
             found = pack_shard([r[3] for r in rows], [place[r[1]] for r in rows], np.array([sources[n][0] for n in names]), np.array([sources[n][1] for n in names]), window)
-            ids = [np.frombuffer(r[2], np.uint16 if itemsize == 2 else np.uint32).astype("<u4") for r in rows]
+            ids = [np.frombuffer(r[2], np.uint16 if len(r[2]) == 2 * r[3] else np.uint32).astype("<u4") for r in rows]
             columns: list[list] = [[] for _ in schema]
             for d, start, length, sequence, offset in found:
                 own = ids[d][start : start + length]
@@ -347,7 +347,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     with Workspace(spark, "packing") as ws:
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
         tokens = ws.table(map_arrow(source, _tokenise(tokenizer, end_id), _TOKENS))
-        itemsize = WordEncoder(tokenizer, end_id).kind.itemsize
 
         total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
         shards = int(np.clip(-(-total // SHARD_TOKENS), 1, MOST_SHARDS))
@@ -368,6 +367,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
         heads = heads.select("shard", F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), zero.alias("n_tokens"), share.alias("share"), (promised - F.col("own_before")).alias("deficit"), zero.alias("slot"))
         none = F.lit(None).cast("double")
         bodies = sharded.select("shard", "doc_id", "source", "ids", "n_tokens", none.alias("share"), none.alias("deficit"), "slot")
-        rows = dealt(ws.table(heads).union(bodies), "shard", total * itemsize).sortWithinPartitions("shard", F.col("ids").isNotNull(), "slot", "source")
+        rows = dealt(ws.table(heads).union(bodies), "shard", total * 4).sortWithinPartitions("shard", F.col("ids").isNotNull(), "slot", "source")
         rows = rows.select("shard", "doc_id", "source", "ids", "n_tokens", "share", "deficit")
-        return durable(spark, map_arrow(rows, _pack(window, itemsize, ids_too), _PIECES + ", ids array<int>" * ids_too))
+        return durable(spark, map_arrow(rows, _pack(window, ids_too), _PIECES + ", ids array<int>" * ids_too))

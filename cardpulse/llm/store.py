@@ -94,14 +94,19 @@ def _released(function: Callable) -> Callable:
         try:
             yield from function(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc there is nothing to trim
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _release()
 
     return run
 
 
+def _release() -> None:
+    """Give freed memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc there is nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Workspace:
     """Written tables of one run of an operator, each dropped as soon as the operator is done with it, all of them at the end of its ``with``
     block, also after an error. Arrow batches are bounded for as long."""
@@ -147,12 +152,16 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def close(self) -> None:
-        """Delete and forget whatever is left, and let Spark's cleaner see that its shuffles are done with, so that their files go now and not
-        at some later collection."""
+        """Delete and forget whatever is left."""
         self.drop(*self.kept)
         self._delete(self.root)
         self.spark.conf.set(_BATCH_SETTING, self.before)
-        gc.collect()
+        self.tidy()
+
+    def tidy(self) -> None:
+        """After many jobs: give the driver's memory back, and let Spark's cleaner see which shuffles are done with, so that their files go now
+        and not at some later collection."""
+        _release()
         self.spark._jvm.System.gc()
 
 
@@ -275,5 +284,6 @@ def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    ws.tidy()
     out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -674,14 +674,18 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_on_odd_documents(spark, sf):
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "a few plain words here", "en", "s", 5), (2, "", "en", "s", 0), (2, "one two three four five six", "en", "s", 9)], spark.read.parquet(f"{sf}/documents.parquet").schema)
-    for df in (odd, odd.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, df, sf)
-            if df is not odd:
-                assert out.count() == 0
-            else:
-                out.count()
+    """Null ids, texts and columns, an empty text, repeated ids: what each stage does with them, and with no rows at all."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "a few plain words here", "en", "s", 5), (2, "", "en", "s", 0), (2, "one two three four five six", "en", "s", 9)], schema)
+    out = {name: stage(spark, odd, sf).collect() for name, stage in corpus_pipeline.STAGES}
+    verdicts = {r["text"] for r in out["quality_classifier"]}
+    assert (None in verdicts) == ("" in verdicts)
+    for name in ("minhash_near_dedup", "benchmark_decontamination"):
+        assert sorted(map(str, out[name])) == sorted(map(str, odd.collect()))
+    assert sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in out["pii"]) == [("1", "", None), ("2", "", "en"), ("2", "one two three four five six", "en"), ("None", "a few plain words here", "en")]
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in out["mixture_packing"] if r["start"] == 0) == [("1", 1), ("2", 1), ("2", 7), ("None", 6)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), sf).count() == 0
 
 
 def test_pipeline_judges_rows_not_ids(spark, sf):

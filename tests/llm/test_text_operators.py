@@ -348,6 +348,39 @@ def test_proximity_against_brute_force(spark, parts):
     assert {r["doc_id"]: (r["items"], r["near"]) for r in df.collect()} == want
 
 
+def test_intermediate_tables_need_a_shared_folder():
+    """Without a named folder a cluster's executors would write where nobody else can read."""
+    from types import SimpleNamespace as Some
+
+    from cardpulse.llm import store
+
+    def session(master, setting=None, chosen=None):
+        folder = Some(isDefined=lambda: chosen is not None, get=lambda: chosen)
+        return Some(conf=Some(get=lambda name, default: setting), sparkContext=Some(master=master, _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: folder))))
+
+    assert store.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert store.shared_dir(session("yarn", None, "hdfs://x/ck")) == "hdfs://x/ck"
+    assert store.shared_dir(session("local[4]")).startswith("file:/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError, match=r"checkpoint\.dir"):
+            store.shared_dir(session(master))
+
+
+def test_workspace_restores_settings_and_deletes_tables(spark):
+    from pathlib import Path
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), Workspace(spark, "test") as ws:
+        inner = int(str(spark.conf.get(name)).rstrip("b"))
+        path = Path(ws.table(spark.range(3))._cardpulse_path.removeprefix("file://").removeprefix("file:"))
+        assert path.exists()
+        raise ZeroDivisionError
+    assert inner <= 2 << 20
+    assert spark.conf.get(name) == before
+    assert not path.exists()
+
+
 def test_long_texts_are_read_whole(spark):
     """200,000 words (1.3 MB) that differ from a copy in the last ones only, beside short texts."""
     from cardpulse.llm import packing, quality, registry, toxicity
