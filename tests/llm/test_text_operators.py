@@ -381,6 +381,39 @@ def test_workspace_restores_settings_and_deletes_tables(spark):
     assert not path.exists()
 
 
+def test_the_driver_gives_freed_native_memory_back(spark):
+    """150 MB of small buffers outside the JVM's heap, of which some stay: glibc keeps the rest when they are freed."""
+    import gc
+    import re
+    import time
+    from pathlib import Path
+
+    java = spark._jvm.java
+    rollup = Path(f"/proc/{java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not rollup.exists() or int(java.lang.Runtime.version().feature()) < 17:
+        pytest.skip("needs Linux and a JVM with the command")
+    pool = next(b for b in java.lang.management.ManagementFactory.getPlatformMXBeans(java.lang.Class.forName("java.lang.management.BufferPoolMXBean")) if b.getName() == "direct")
+
+    def resident():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", rollup.read_text())[1]) / 1024
+
+    with Workspace(spark, "test") as ws:
+        ws.tidy()
+        before = pool.getMemoryUsed()
+        buffers = [java.nio.ByteBuffer.allocateDirect(50_000) for _ in range(3000)]
+        stay = buffers[::100]
+        del buffers
+        end = time.time() + 30
+        while pool.getMemoryUsed() > before + 10_000_000 and time.time() < end:  # buffers are freed by a thread of the JVM
+            gc.collect()
+            java.lang.System.gc()
+            time.sleep(0.2)
+        held = resident()
+        ws.tidy()
+        assert resident() < held - 75
+    assert len(stay) == 30
+
+
 def test_long_texts_are_read_whole(spark):
     """200,000 words (1.3 MB) that differ from a copy in the last ones only, beside short texts."""
     from cardpulse.llm import packing, quality, registry, toxicity
